@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, sharding, simhash, token_counts, token_store
+from . import decontamination, quality_rules, sharding, simhash, token_counts, token_store
 from .common import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(spark, path)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judged(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "good")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = sharding.pack(table(spark, sf_dir, "documents"), 8)
     return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -51,6 +56,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_store": op1_token_store,
+    "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
