@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality_rules, sharding, simhash, token_counts, token_store
+from . import decontamination, quality_rules, secrets, sharding, simhash, token_counts, token_store
 from .common import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,19 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(spark, path)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ("assign", "access", "hex")
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda *kinds: F.filter("findings", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(said(of(*base)), 256).alias("base_sha256"),
+        said(F.col("findings")).alias("spans"),
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judged(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "good")
@@ -56,6 +69,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_store": op1_token_store,
+    "op2_secret_scan": op2_secret_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
