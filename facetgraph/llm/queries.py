@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality_rules, secrets, sharding, simhash, token_counts, token_store
+from . import decontamination, quality_classifier, quality_rules, secrets, sharding, simhash, token_counts, token_store
 from .common import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.classify(docs, model).withColumn("held_out", quality_classifier.held_out(F.col("doc_id")))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -74,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_decontamination": op10_decontamination,
 }
 
