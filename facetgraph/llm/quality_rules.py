@@ -5,7 +5,7 @@ maximisation estimates, from the votes of all documents and without labels, what
 share of texts is bad in each of several ways and how often each rule votes rightly
 on good and on bad ones, and a text is kept by its posterior probability of being good.
 
-The sums of both steps run in Spark over the table of vote patterns, which has at
+Both steps run in one SQL expression over the table of vote patterns, which has at
 most 3 ** rules rows however many documents there are; the driver holds only the
 model's parameters. A text's own statistics are array functions of its row: nothing
 is exploded, so neither long texts nor repeated ones are gathered in a task.
@@ -125,9 +125,6 @@ class LabelModel:
     right_on_good: list[float]
     right_on_bad: list[float]
 
-    def flat(self) -> list[float]:
-        return [*self.shares.values(), *self.right_on_good, *self.right_on_bad]
-
     def odds(self, pattern: Column) -> dict[str, Column]:
         """Of each bad way, its probability against that of a good text. pattern: votes as digits to the base 3."""
         out, good = {}, 1 - sum(self.shares.values())
@@ -150,39 +147,36 @@ def vote_of(pattern: Column, j: int) -> Column:
 
 
 def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> LabelModel:
-    """Expectation maximisation over patterns (pattern, n).
+    """Expectation maximisation over patterns (pattern, n), all rounds in one SQL expression.
 
     A rule counts where it votes; an abstention says nothing. Which class is the good
-    one is fixed by holding rules to vote for PRECISE of the good texts at least.
+    one is fixed by holding rules to vote for PRECISE of the good texts at least. The
+    patterns, at most 3 ** rules, are folded from one row; c are the patterns with p,
+    their chances of each bad way under the model m so far.
     """
     ways = sorted({WAYS[x] for x in names})
-    model = LabelModel(names, {w: START[0] for w in ways}, [START[1]] * len(names), [START[2]] * len(names))
-    for _ in range(rounds):
-        odds = model.odds(F.col("pattern"))
-        whole = 1 + sum(odds.values(), F.lit(0.0))
-        chances = patterns.select("*", *[(odds[w] / whole).alias(f"p_{w}") for w in ways])
-        sums = [F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(f"p_{w}")).alias(f"p_{w}") for w in ways]]
-        for j, name in enumerate(names):
-            vote, p = vote_of(F.col("pattern"), j), F.col(f"p_{WAYS[name]}")
-            for v in (1, 2):
-                cast = F.when(vote == v, F.col("n")).otherwise(0)
-                sums += [F.sum(cast * (1 - p)).alias(f"g{j}{v}"), F.sum(cast * p).alias(f"b{j}{v}")]
-        s = chances.agg(*sums).first()
-        if not s["n"]:
-            break
-        on_good = [(s[f"g{j}1"] + START[1] * PRIOR_VOTES) / (s[f"g{j}1"] + s[f"g{j}2"] + PRIOR_VOTES) for j in range(len(names))]
-        on_bad = [(s[f"b{j}2"] + START[2] * PRIOR_VOTES) / (s[f"b{j}1"] + s[f"b{j}2"] + PRIOR_VOTES) for j in range(len(names))]
-        new = LabelModel(
-            names,
-            {w: (s[f"p_{w}"] + START[0] * PRIOR_VOTES) / (s["n"] + PRIOR_VOTES) for w in ways},
-            [min(max(x, PRECISE), 0.9999) for x in on_good],
-            [min(max(x, 0.2), 0.98) for x in on_bad],
-        )
-        moved = max(abs(a - b) for a, b in zip(new.flat(), model.flat(), strict=True))
-        model = new
-        if moved < 1e-4:
-            break
-    return model
+    way_of = [ways.index(WAYS[x]) for x in names]
+    rules_of = [[j for j, w in enumerate(way_of) if w == k] for k in range(len(ways))]
+    doubles = lambda x: f"array({', '.join(f'{v}D' for v in x)})"
+    total = lambda term: f"aggregate(c, 0D, (a, x) -> a + x.n * ({term}))"
+    logit = lambda j: f"CASE x.v[{j}] WHEN 2 THEN ln(m.b[{j}] / (1 - m.g[{j}])) WHEN 1 THEN ln((1 - m.b[{j}]) / m.g[{j}]) ELSE 0D END"
+    good = "(1 - aggregate(m.s, 0D, (a, x) -> a + x))"
+    odds = ", ".join(f"m.s[{k}] / {good} * exp({' + '.join(map(logit, own))})" for k, own in enumerate(rules_of))
+    chances = f"transform(pats, x -> transform(array(array({odds})), o -> named_struct('v', x.v, 'n', x.n, 'p', transform(o, y -> y / (1 + aggregate(o, 0D, (a, z) -> a + z)))))[0])"
+    prior = PRIOR_VOTES
+    shares = [f"({total(f'x.p[{k}]')} + {START[0] * prior}D) / ({total('1D')} + {prior}D)" for k in range(len(ways))]
+    voted = lambda j, v, chance: total(f"CASE WHEN x.v[{j}] = {v} THEN {chance} ELSE 0D END")
+    on_good, on_bad = [], []
+    for j, k in enumerate(way_of):
+        g, b = (f"1 - x.p[{k}]", f"x.p[{k}]")
+        on_good.append(f"least(greatest(({voted(j, 1, g)} + {START[1] * prior}D) / ({voted(j, 1, g)} + {voted(j, 2, g)} + {prior}D), {PRECISE}D), 0.9999D)")
+        on_bad.append(f"least(greatest(({voted(j, 2, b)} + {START[2] * prior}D) / ({voted(j, 1, b)} + {voted(j, 2, b)} + {prior}D), 0.2D), 0.98D)")
+    new = f"named_struct('s', array({', '.join(shares)}), 'g', array({', '.join(on_good)}), 'b', array({', '.join(on_bad)}))"
+    start = f"named_struct('s', {doubles([START[0]] * len(ways))}, 'g', {doubles([START[1]] * len(names))}, 'b', {doubles([START[2]] * len(names))})"
+    fold = f"aggregate(sequence(1, {rounds}), {start}, (m, r) -> transform(array({chances}), c -> {new})[0])"
+    votes = F.array(*[vote_of(F.col("pattern"), j).cast("int") for j in range(len(names))])
+    row = patterns.agg(F.collect_list(F.struct(votes.alias("v"), F.col("n").cast("double").alias("n"))).alias("pats")).select(F.expr(fold).alias("m")).first()["m"]
+    return LabelModel(names, dict(zip(ways, row["s"], strict=True)), list(row["g"]), list(row["b"]))
 
 
 def base_failed() -> Column:
