@@ -77,19 +77,14 @@ class DoubleArray:
             node[-1] = value
         size = 1024
         base, check, value = [0] * size, [-1] * size, [-1] * size
-        check[0], first, wide, todo = 0, 1, 0, [(0, tree)]
+        check[0], offset, todo = 0, 0, [(0, tree)]
         while todo:
             place, node = todo.pop()
             value[place] = node.get(-1, -1)
             children = sorted(b for b in node if b >= 0)
             if not children:
                 continue
-            if len(children) == 1:  # fills the gaps that wider nodes have left
-                while first < len(check) and check[first] >= 0:
-                    first += 1
-                offset = max(0, first - children[0] - 1)
-            else:
-                offset = wide
+            # places before the last one found are dense, so the search goes on from there
             while True:
                 if offset + 258 > len(check):
                     more = offset + 258
@@ -99,8 +94,6 @@ class DoubleArray:
                 if all(check[offset + b + 1] < 0 for b in children):
                     break
                 offset += 1
-            if len(children) > 1:
-                wide = offset
             base[place] = offset
             for b in children:
                 check[offset + b + 1] = place
