@@ -18,6 +18,8 @@ from ..functions import vector
 
 #: Query vectors that one broadcast block holds; more are searched block by block.
 QUERY_BLOCK = 4096
+#: Rows of a block of a similarity join, about.
+BLOCK_ROWS = 8192
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", metric: str = "l2") -> DataFrame:
@@ -81,9 +83,13 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, within: float | Non
 
 
 def similar_pairs(vectors: DataFrame, within: float, key: str = "vec_id", blocks: int | None = None) -> DataFrame:
-    """a < b and distance of all pairs at most within apart (J11), one task for each pair of hashed blocks."""
-    spark = vectors.sparkSession
-    n = blocks or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    """a < b and distance of all pairs at most within apart.
+
+    Rows are hashed to blocks of about BLOCK_ROWS, and each pair of blocks is a task
+    that emits what is near: no task holds more than two blocks, however many rows
+    there are.
+    """
+    n = blocks or max(2, -(-vectors.count() // BLOCK_ROWS))
     own = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     dealt = vectors.select(F.col(key).cast("long").alias("id"), "embedding", own.alias("block"))
     pairs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.least(F.col("block"), j) * n + F.greatest(F.col("block"), j))
