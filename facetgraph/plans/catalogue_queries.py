@@ -183,11 +183,11 @@ def fk_cascade_edges(spark, d):
 
 
 @query(WITH + """ SELECT entity_id, CASE WHEN entity_id % 3 = 0 THEN 'P' || entity_id ELSE display_name END AS display_name,
-CASE WHEN entity_id % 3 = 0 THEN 'friend' ELSE relation END AS relation, CASE WHEN entity_id % 3 = 0 AND entity_id % 40 > 0 THEN CAST(entity_id % 40 AS INTEGER) END AS age FROM entities""")
+CASE WHEN entity_id % 3 = 0 THEN 'friend' ELSE relation END AS relation, CAST(CASE WHEN entity_id % 3 = 0 THEN entity_id % 40 ELSE 0 END AS INTEGER) AS age FROM entities""")
 def set_entity_metadata(spark, d):
     e = proxies.entities(spark, d).withColumn("age", F.lit(None).cast("int"))
     changes = e.filter("entity_id % 3 = 0").select("entity_id", F.concat(F.lit("P"), "entity_id").alias("display_name"), F.lit("friend").alias("relation"), (F.col("entity_id") % 40).cast("int").alias("age"))
-    return catalog.set_metadata(e, changes, 1_700_000_000).select("entity_id", "display_name", "relation", "age")
+    return catalog.set_metadata(e, changes, 1_700_000_000).select("entity_id", "display_name", "relation", F.coalesce("age", F.lit(0)).alias("age"))
 
 
 @query(WITH + " SELECT entity_id, display_name, sample_count FROM entities ORDER BY sample_count DESC, entity_id LIMIT 50")
@@ -264,7 +264,7 @@ def display_names(spark, d):
     return read(spark, d, "supplier").select(F.col("s_suppkey").alias("entity_id"), text.shown_name(F.col("s_name")).alias("shown"))
 
 
-@query("""WITH RECURSIVE h AS (SELECT user_id, event_id, CAST(epoch(ts) AS BIGINT) AS mtime, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events),
+@query("""WITH RECURSIVE h AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS mtime, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events),
 l AS (SELECT user_id, list({'rank': rank, 'event_id': event_id, 'mtime': mtime} ORDER BY rank) AS hits FROM h WHERE rank <= 30 GROUP BY 1),
 f AS (SELECT user_id, hits, 1 AS i, hits[1:0] AS kept FROM l
 UNION ALL SELECT user_id, hits, i + 1, CASE WHEN hits[i].mtime > 0 AND len(list_filter(kept, lambda k: k.mtime > 0 AND abs(k.mtime - hits[i].mtime) < 86400)) > 0 THEN kept ELSE list_append(kept, hits[i]) END FROM f WHERE i <= len(hits)),
@@ -329,12 +329,20 @@ def format_bytes(spark, d):
     return read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), n.cast("long").alias("n"), text.format_bytes(n).alias("shown"))
 
 
-@query("SELECT event_id, strftime(to_timestamp(CAST(epoch(ts) AS BIGINT)) AT TIME ZONE 'UTC', '%-d %b %Y %-I:%M %p') AS shown FROM events")
+@query("SELECT event_id, strftime(to_timestamp(CAST(floor(epoch(ts)) AS BIGINT)) AT TIME ZONE 'UTC', '%-d %b %Y %-I:%M %p') AS shown FROM events")
 def format_date(spark, d):
     return read(spark, d, "events").select("event_id", text.format_date(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("shown"))
 
 
-@query()
+def _normalized_sql(column: str) -> str:
+    """DuckDB's expressions have no back references: one replacement for each character that may repeat."""
+    sql = f"regexp_replace(lower({column}), '[^a-z0-9 ]', '', 'g')"
+    for c in "abcdefghijklmnopqrstuvwxyz0123456789":
+        sql = f"regexp_replace({sql}, '{c}{{3,}}', '{c}{c}', 'g')"
+    return f"trim({sql})"
+
+
+@query(f"SELECT conv_id, turn, {_normalized_sql('text')} AS normalized FROM conversations")
 def normalize_query(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", text.normalized(F.col("text")).alias("normalized"))
 
