@@ -7,8 +7,8 @@ bit. So the place of an id's next chunk is the rank of its continuation bit, and
 any token is read by itself, without decoding a block.
 
 File format: a folder of Parquet rows, each a segment of whole documents in
-ascending doc_id order: ``part, seq, doc_ids, lengths, n_tokens, payload``, the
-payload being the codes below, and a second small folder with the first position
+ascending doc_id order: ``part, seq, before, doc_ids, lengths, n_tokens, payload``,
+before being the tokens of the part's earlier segments, the payload the codes below, and a second small folder with the first position
 of each part. Rows are written by Spark's commit protocol, so a lost executor
 costs the tasks it ran and nothing else.
 """
@@ -159,12 +159,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
         from pyspark import TaskContext
 
         encode, part, seq = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
-        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("payload", pa.binary())])
+        before = 0
+        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("payload", pa.binary())])
         doc_ids, lengths, held = [], [], []
 
         def closed() -> pa.RecordBatch:
             payload = pack_codes(np.frombuffer(b"".join(held), "<u4"))
-            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "doc_ids": doc_ids, "lengths": lengths, "n_tokens": sum(lengths), "payload": payload}], schema)
+            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "before": before, "doc_ids": doc_ids, "lengths": lengths, "n_tokens": sum(lengths), "payload": payload}], schema)
 
         n = 0
         for batch in batches:
@@ -177,12 +178,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
                     n += lengths[-1]
                     if n >= segment:
                         yield closed()
+                        before += n
                         doc_ids, lengths, held, n, seq = [], [], [], 0, seq + 1
         if doc_ids:
             yield closed()
 
     rows = docs.select("doc_id", whole_text().alias("text")).repartitionByRange(n_parts or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, f"part int, seq int, doc_ids array<{kind}>, lengths array<bigint>, n_tokens long, payload binary").write.option("compression", "zstd").parquet(f"{path}/segments")
+    rows.mapInArrow(run, f"part int, seq int, before long, doc_ids array<{kind}>, lengths array<bigint>, n_tokens long, payload binary").write.option("compression", "zstd").parquet(f"{path}/segments")
     parts = spark.read.parquet(f"{path}/segments").groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row a part
     starts, at = [], 0
     for p in parts:
@@ -195,21 +197,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """Segments of a store with the position of their first token.
 
-    The window runs over one part's segments without their payload; the parts' starts
-    are a row for each part, so they can be broadcast.
+    The parts' starts are a row for each part of the store, so they can be broadcast,
+    and no payload is shuffled.
     """
-    from pyspark.sql.window import Window
-
     starts = spark.read.parquet(f"{path}/parts")
-    index = spark.read.parquet(f"{path}/segments").select("part", "seq", "n_tokens")
-    before = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return index.withColumn("before", before).join(F.broadcast(starts), "part").select("part", "seq", "n_tokens", (F.col("part_start") + F.col("before")).alias("first_token"))
+    return spark.read.parquet(f"{path}/segments").join(F.broadcast(starts), "part").withColumn("first_token", F.col("part_start") + F.col("before"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the store's files."""
     small_batches(spark)
-    stored = spark.read.parquet(f"{path}/segments")
+    stored = segments(spark, path)
     kind = stored.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +221,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 starts = row["first_token"] + np.cumsum(lengths) - lengths
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(lengths), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = stored.join(segments(spark, path).select("part", "seq", "first_token"), ["part", "seq"]).select("doc_ids", "lengths", "payload", "first_token")
+    rows = stored.select("doc_ids", "lengths", "payload", "first_token")
     return rows.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
@@ -234,7 +232,7 @@ def lookup(positions: DataFrame, path: str, segment: int = SEGMENT) -> DataFrame
     with the other. Positions outside the store, and nulls, get no row.
     """
     spark = positions.sparkSession
-    index = segments(spark, path).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first_token") / segment), F.floor((F.col("first_token") + F.greatest("n_tokens", F.lit(1)) - 1) / segment))))
+    index = segments(spark, path).select("part", "seq", "n_tokens", "first_token").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first_token") / segment), F.floor((F.col("first_token") + F.greatest("n_tokens", F.lit(1)) - 1) / segment))))
     asked = positions.select("position", F.floor(F.col("position") / segment).alias("bucket"))
     found = asked.join(index, "bucket").filter((F.col("position") >= F.col("first_token")) & (F.col("position") < F.col("first_token") + F.col("n_tokens")))
     # positions of a segment travel in lists of a bounded length, each with the payload once
