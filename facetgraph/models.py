@@ -21,6 +21,7 @@ def apply_model(df: DataFrame, load: Callable[[], Callable[[list], list]], colum
     """df with a column of the model's results; a batch that fails is tried row by row, and rows that fail get null."""
     names = df.columns
     at = names.index(column)
+    out_type = _arrow(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
@@ -35,7 +36,7 @@ def apply_model(df: DataFrame, load: Callable[[], Callable[[list], list]], colum
                         results += model([v])
                     except Exception:
                         results.append(None)
-            yield pa.RecordBatch.from_pydict({**{n: batch.column(i) for i, n in enumerate(names)}, out: results}, schema=pa.schema([*batch.schema, (out, _arrow(kind))]))
+            yield pa.RecordBatch.from_pydict({**{n: batch.column(i) for i, n in enumerate(names)}, out: results}, schema=pa.schema([*batch.schema, (out, out_type)]))
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out}` {kind}"])
     return df.mapInArrow(run, schema)
