@@ -81,15 +81,27 @@ def reset_faces(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return out
 
 
+#: Groups of files whose ids are counted together.
+ID_GROUPS = 1024
+
+
 def append_detections(old: DataFrame, found: DataFrame, now: int) -> DataFrame:
-    """found (file_id, x, y, w, h, conf, crop_path) as detections without entity; ids go on from the largest, in order of file and place (K6)."""
+    """found (file_id, x, y, w, h, conf, crop_path) as detections without entity, with ids above the largest (K6).
+
+    Ids are gapless and the same each time: files are hashed to ID_GROUPS groups, the
+    groups' sizes alone reach the driver, and rows are numbered within their group.
+    """
+    spark = old.sparkSession
     last = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    in_file = Window.partitionBy("file_id").orderBy(F.desc("conf"), "x", "y")
-    numbered = found.withColumn("_k", F.row_number().over(in_file))
-    before = Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)
-    counts = found.groupBy("file_id").count().withColumn("_first", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    rows = numbered.join(counts, "file_id").select(
-        (F.lit(last) + F.col("_first") + F.col("_k")).cast("long").alias("id"),
+    grouped = found.withColumn("_g", F.pmod(F.xxhash64("file_id"), F.lit(ID_GROUPS)))
+    starts, at = [], last
+    for g in grouped.groupBy("_g").count().orderBy("_g").collect():
+        starts.append((g["_g"], at))
+        at += g["count"]
+    first = F.broadcast(spark.createDataFrame(starts, "_g long, _first long"))
+    order = Window.partitionBy("_g").orderBy("file_id", F.desc("conf"), "x", "y")
+    rows = grouped.withColumn("_k", F.row_number().over(order)).join(first, "_g").select(
+        (F.col("_first") + F.col("_k")).cast("long").alias("id"),
         "file_id",
         F.lit(None).cast("long").alias("entity_id"),
         *[F.col(c).cast("int").alias(f"bbox_{c}") for c in ("x", "y", "w", "h")],

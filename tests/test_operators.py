@@ -158,6 +158,28 @@ def test_catalogue(spark):
     assert catalog.as_json(old.select("id", "abs_path"), ["id"]).first().json == '[{"id":1,"abs_path":"/a"}]'
 
 
+def test_detections_get_ids(spark):
+    from facetgraph import schemas
+
+    found = spark.createDataFrame([(f, float(k), 1.9, 5.0, 5.0, 0.9, None) for f in range(30) for k in range(f % 4)], "file_id long, x double, y double, w double, h double, conf double, crop_path string")
+    once = catalog.append_detections(schemas.empty(spark, "face_detections"), found, 7)
+    assert sorted(r.id for r in once.collect()) == list(range(1, found.count() + 1))
+    again = catalog.append_detections(once, found.limit(3), 8)
+    assert again.count() == found.count() + 3 and {r.bbox_y for r in again.collect()} == {1}
+
+
+def test_alignment():
+    from facetgraph.functions import pixels
+
+    turn = np.array([[0.8, -0.6], [0.6, 0.8]])
+    points = (np.array(pixels.FACE_POINTS) @ turn.T) * 2 + [5, 9]
+    m = pixels.alignment(points)
+    assert np.allclose(points @ m[:, :2].T + m[:, 2], pixels.FACE_POINTS)
+    flat = np.full((300, 300, 3), 51.0)
+    assert np.allclose(pixels.aligned(flat, points)[40:60, 40:60], 51)
+    assert np.allclose(pixels.model_input(flat)[0], (0.2 - pixels.MEAN[0]) / pixels.DEVIATION[0])
+
+
 def test_media_types(spark):
     rows = [("/x/A.JPG", "text/plain"), (None, "image/png"), ("/x/a.xyz", "audio/ogg"), ("/x/noext", "font/ttf"), ("", "video/mp4")]
     found = column(spark, rows, "p string, m string", media.media_type(F.col("p"), F.col("m")))
