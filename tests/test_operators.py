@@ -172,10 +172,10 @@ def test_alignment():
     from facetgraph.functions import pixels
 
     turn = np.array([[0.8, -0.6], [0.6, 0.8]])
-    points = (np.array(pixels.FACE_POINTS) @ turn.T) * 2 + [5, 9]
+    points = (np.array(pixels.FACE_POINTS) @ turn.T) * 2 + [205, 109]
     m = pixels.alignment(points)
     assert np.allclose(points @ m[:, :2].T + m[:, 2], pixels.FACE_POINTS)
-    flat = np.full((300, 300, 3), 51.0)
+    flat = np.full((600, 600, 3), 51.0)
     assert np.allclose(pixels.aligned(flat, points)[40:60, 40:60], 51)
     assert np.allclose(pixels.model_input(flat)[0], (0.2 - pixels.MEAN[0]) / pixels.DEVIATION[0])
 
