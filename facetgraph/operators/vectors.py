@@ -22,12 +22,12 @@ QUERY_BLOCK = 4096
 BLOCK_ROWS = 8192
 
 
-def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", metric: str = "l2") -> DataFrame:
-    """key, distance of the k rows nearest to one query, ties by key."""
+def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", metric: str = "l2", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, distance and the columns of keep of the k rows nearest to one query, ties by key."""
     q = F.array(*[F.lit(float(x)) for x in query])
     far = vector.l2(F.col("embedding"), q) if metric == "l2" else 1 - vector.dot(F.col("embedding"), q)
     rows = vectors.filter(F.size("embedding") == len(query))
-    return rows.select(key, far.alias("distance")).orderBy("distance", key).limit(k)
+    return rows.select(key, *keep, far.alias("distance")).orderBy("distance", key).limit(k)
 
 
 def _blocks(queries: DataFrame, key: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -45,8 +45,7 @@ DOT_SQL = "list_sum(list_transform(list_zip({a}::DOUBLE[], {b}::DOUBLE[]), lambd
 @query(f"""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 7)
 SELECT vec_id, label, {L2_SQL.format(a='embedding', b='e')} AS distance FROM embeddings, q ORDER BY distance, vec_id LIMIT 30""")
 def knn_global_l2(spark, d):
-    found = vectors.nearest(read(spark, d, "embeddings"), _query_vector(spark, d), 30)
-    return _six(found.join(read(spark, d, "embeddings").select("vec_id", "label"), "vec_id").select("vec_id", "label", "distance"), "distance")
+    return _six(vectors.nearest(read(spark, d, "embeddings"), _query_vector(spark, d), 30, keep=("label",)), "distance")
 
 
 @query(f"""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 7), r AS (
