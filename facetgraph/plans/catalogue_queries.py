@@ -362,7 +362,13 @@ def symspell_correct(spark, d):
     return spell.corrections(_typos(spark, d), _part_terms(spark, d))
 
 
-@query()
+_TERMS_SQL = ", ".join(f"'{t}'" for t in spell.TERMS.split())
+
+
+@query(WITH + f""", fixed AS (SELECT CAST(unnest(range(0, {len(spell.TERMS.split())})) AS BIGINT) AS place, unnest([{_TERMS_SQL}]) AS term),
+own AS (SELECT DISTINCT unnest(string_split(lower(display_name || ' ' || coalesce(relation, '')), ' ')) AS term FROM entities)
+SELECT place, term, 1000 AS frequency FROM fixed
+UNION ALL SELECT CAST(1073741824 AS BIGINT), term, 1000 FROM own WHERE term <> '' AND term NOT IN (SELECT term FROM fixed)""")
 def spell_dictionary(spark, d):
     return spell.dictionary(spark, proxies.entities(spark, d))
 
