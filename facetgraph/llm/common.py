@@ -72,3 +72,13 @@ def partitions(spark: SparkSession) -> int:
 def whole_text(name: str = "text") -> Column:
     """The text, null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def blob_of_text() -> Column:
+    """SHA-256 of the text, null as the empty text."""
+    return F.sha2(whole_text(), 256)
+
+
+def row_key() -> Column:
+    """What tells rows of documents apart, in the order in which one stands for many: doc_id, nulls last, then text."""
+    return F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), blob_of_text().alias("blob"))
