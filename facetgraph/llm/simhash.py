@@ -213,8 +213,9 @@ def bucket_edges(slot: np.ndarray, role: np.ndarray, fp: np.ndarray, tau: int) -
     firsts, end = firsts[keep], end[keep]
     width = end - firsts - 1
     cut = np.searchsorted(np.cumsum(width), np.arange(0, width.sum() + 1_000_000, 1_000_000))
+    cut[-1] = len(width)  # also where the sum is a multiple of a run's size
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-        w = width[lo : hi + 1 if hi == len(width) else hi]
+        w = width[lo:hi]
         a = np.repeat(firsts[lo : lo + len(w)], w)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w)
         near = np.bitwise_count(fp[a] ^ fp[b]) <= tau
