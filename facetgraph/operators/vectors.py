@@ -20,6 +20,8 @@ from ..functions import vector
 QUERY_BLOCK = 4096
 #: Rows of a block of a similarity join, about.
 BLOCK_ROWS = 8192
+#: Bound of the rounding errors of rough squared distances, as a share of both vectors' squares.
+ROUNDING = 1e-10
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", metric: str = "l2", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -60,17 +62,22 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, within: float | Non
                     continue
                 own = np.array([i for i, _ in keep], np.int64)
                 x = np.array([e for _, e in keep], np.float64)
+                far = np.nanmax((x**2).sum(axis=1), initial=0.0)
                 for at in range(0, len(rows), 256):
                     q = rows[at : at + 256]
                     rough = squares[at : at + 256, None] - 2 * q @ x.T + (x**2).sum(axis=1)[None, :]
-                    n = min(k + 8, len(own))
-                    near = np.argpartition(rough, n - 1, axis=1)[:, :n] if n < len(own) else np.tile(np.arange(len(own)), (len(q), 1))
-                    exact = np.sqrt(((x[near] - q[:, None, :]) ** 2).sum(axis=2))
-                    order = np.lexsort((own[near], exact), axis=1)[:, :k]
-                    near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
-                    flat = exact.ravel()
-                    keep_row = np.ones(len(flat), bool) if within is None else flat <= within
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 256], near.shape[1])[keep_row]), pa.array(own[near].ravel()[keep_row]), pa.array(flat[keep_row])], ["q", "v", "distance"])
+                    # all rows up to the k-th rough distance, and what rounding may have put beyond it
+                    kth = np.partition(rough, min(k, len(own)) - 1, axis=1)[:, min(k, len(own)) - 1]
+                    margin = ROUNDING * (squares[at : at + 256] + far)
+                    of, near = np.nonzero(~(rough > (kth + margin)[:, None]))
+                    step = max(1, (1 << 22) // rows.shape[1])
+                    exact = np.concatenate([np.sqrt(((x[near[i : i + step]] - q[of[i : i + step]]) ** 2).sum(axis=1)) for i in range(0, len(of), step)])
+                    order = np.lexsort((own[near], exact, of))
+                    first = np.searchsorted(of, np.arange(len(q)))
+                    order = order[np.arange(len(of)) - first[of] < k]
+                    of, near, exact = of[order], near[order], exact[order]
+                    keep_row = np.ones(len(exact), bool) if within is None else exact <= within
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + of][keep_row]), pa.array(own[near][keep_row]), pa.array(exact[keep_row])], ["q", "v", "distance"])
 
         parts.append(vectors.select(F.col(key).cast("long"), "embedding").mapInArrow(run, "q long, v long, distance double"))
     if not parts:
