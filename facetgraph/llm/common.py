@@ -6,13 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch may hold on its way to Python. Texts may be long, so
-#: a batch is kept far below Spark's default of 10,000 rows.
-ARROW_ROWS = 1000
+#: Rows and bytes that one Arrow batch may hold on its way to Python. Texts may be long, so
+#: a batch is kept far below Spark's defaults of 10,000 rows and 64 MB; a longer text is a batch alone.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts."""
+    """Keep Arrow batches small enough for long texts, in rows and in bytes.
+
+    Spark reads both settings when a plan starts, not when it is made, so they stay set.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def runs_of_texts(texts: list[str], rows: int = 64, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts, each of at most rows texts and, but for a text alone, chars characters."""
+    first, held = 0, 0
+    for i, text in enumerate(texts):
+        if i > first and (i - first == rows or held + len(text) > chars):
+            yield first, i
+            first, held = i, 0
+        held += len(text)
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def shared_dir(spark: SparkSession) -> str:

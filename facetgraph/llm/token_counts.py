@@ -17,10 +17,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytelevel import PATTERN, pieces
+from .bytelevel import PATTERN, pieces, spelled
 from .common import small_batches, whole_text
 
-#: Pieces whose count a worker keeps. More are counted anew: speed alone depends on it.
+#: Pieces of fewer than 64 characters whose count a worker keeps. More are counted anew: speed alone depends on it.
 KEPT = 1_000_000
 LIMIT = 512
 
@@ -97,7 +97,7 @@ class MergeCounter:
         for piece in rest:
             n = kept.get(piece)
             if n is None:
-                n = self._piece(" " + piece)
+                n = self._piece(spelled(piece))
                 if len(kept) < self.most and len(piece) < 64:
                     kept[piece] = n
             total += n

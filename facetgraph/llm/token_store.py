@@ -15,9 +15,12 @@ costs the tasks it ran and nothing else.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytelevel import pieces
-from .common import partitions, shared_path, small_batches, whole_text
+from .bytelevel import SPACE, pieces, spelled
+from .common import partitions, runs_of_texts, shared_path, small_batches, whole_text
 
 MAGIC = b"DACS"
 WIDTH = 8
 BLOCK = 512
 #: Tokens after which a segment is closed (it always holds whole documents).
 SEGMENT = 1 << 20
-#: Pieces whose ids a worker keeps. More are encoded anew: speed alone depends on it.
-KEPT = 1_000_000
+#: Pieces of fewer than LONG characters whose ids a worker keeps, in two tables: when the newer one has KEPT,
+#: it becomes the older one, whose pieces move up where they are met again. Speed alone depends on it.
+KEPT, LONG = 800_000, 64
+#: New pieces that go to the library as one text.
+JOINED = 512
+#: White space inside a piece, and how tokens that start with a blank or a line feed are written in a byte-level vocabulary.
+INNER = re.compile(f".[{SPACE}]", re.DOTALL)
+OPENINGS = ("\u0120", "\u010a")
 
 
 def pack_codes(ids: np.ndarray) -> bytes:
@@ -94,6 +103,29 @@ class Codes:
             i = rank + int(np.bitwise_count(np.uint8(bits[i >> 3] & ((1 << (i & 7)) - 1))))
         return value
 
+    def take(self, places: np.ndarray) -> np.ndarray:
+        """The ids at many places, as __getitem__ finds them, none of the others being decoded."""
+        places = np.asarray(places, np.int64)
+        if len(places) and not (0 <= places.min() and places.max() < self.n):
+            raise IndexError(places)
+        values = np.zeros(len(places), np.uint32)
+        for first in range(0, len(places), 1 << 15):
+            some = np.arange(first, min(first + (1 << 15), len(places)))
+            at = places[some]
+            for k, (chunks, bits, ranks) in enumerate(self.levels):
+                values[some] |= chunks[at].astype(np.uint32) << np.uint32(WIDTH * k)
+                more = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                some, at = some[more], at[more]
+                if not len(at):
+                    break
+                block = at // BLOCK
+                own = (block * (BLOCK // 8))[:, None] + np.arange(BLOCK // 8)
+                whole = np.where(own < (at >> 3)[:, None], bits[np.minimum(own, len(bits) - 1)], 0)
+                before = np.bitwise_count(whole).sum(axis=1, dtype=np.int64)
+                part = bits[at >> 3] & ((1 << (at & 7)) - 1).astype(np.uint8)
+                at = ranks[block].astype(np.int64) + before + np.bitwise_count(part)
+        return values
+
     def all(self) -> np.ndarray:
         """All ids, level by level."""
         ids = np.zeros(self.n, np.uint32)
@@ -105,7 +137,13 @@ class Codes:
 
 
 class PieceEncoder:
-    """The ids of whole texts, by the tokenizers library; ids of pieces are kept."""
+    """The ids of whole texts, by the tokenizers library; ids of pieces are kept.
+
+    Pieces not seen before go to the library many at a time, as one text: a piece without
+    white space inside has exactly one token that starts with a blank or a line feed, its
+    first, so their ids are told apart again. A tokenizer of another kind than byte-level
+    BPE, of which texts can't be cut, is given whole texts.
+    """
 
     def __init__(self, path: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -113,24 +151,61 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.most = kept
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cut = spec.get("pre_tokenizer") or {}
+        self.by_piece = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not spec.get("normalizer")
+        vocabulary = self.library.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token[:1] in OPENINGS]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype="<u4") for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of pieces that aren't first."""
+        alone = [p for p in new if not p or INNER.search(p)]
+        found = dict(zip(alone, (x.tobytes() for x in self._ids(list(map(spelled, alone)))), strict=True))
+        joined = [p for p in new if p not in found]
+        for at in range(0, len(joined), JOINED):
+            some = joined[at : at + JOINED]
+            ids = self._ids([(" " + " ".join(some)).replace(" \n", "\n")])[0]
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) == len(some):
+                raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                found.update((p, raw[i:j]) for p, i, j in zip(some, cuts, cuts[1:], strict=False))
+            else:
+                found.update(zip(some, (x.tobytes() for x in self._ids(list(map(spelled, some)))), strict=True))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
+        if not self.by_piece:
+            return [x.tobytes() for x in self._ids(texts)]
         split = [pieces(t) for t in texts]
-        kept = self.kept
-        if len(kept) > self.most:
-            kept.clear()
-        new = list({p for s in split for p in s[1:] if p not in kept})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            kept.update(zip(some, self._encode([" " + p for p in some]), strict=True))
-        firsts = self._encode([s[0] for s in split])
-        get = kept.__getitem__
-        return [first + b"".join(map(get, s[1:])) for first, s in zip(firsts, split, strict=True)]
+        # a first piece is looked up after a line feed, which is a token of its own
+        firsts = [s[0] for s in split]
+        after = [bool(p) and not p[0].isspace() for p in firsts]
+        for s, known in zip(split, after, strict=True):
+            s[0] = "\n" + s[0] if known else ""
+        if len(self.kept) >= self.most:
+            self.kept, self.older = {}, self.kept
+        wanted = set().union(*split).difference(self.kept)
+        again = [p for p in wanted if p in self.older]
+        self.kept.update((p, self.older[p]) for p in again)
+        new = self._learn(list(wanted.difference(again)))
+        short = {p: x for p, x in new.items() if len(p) < LONG}
+        self.kept.update(short)
+        table = self.kept if len(short) == len(new) else ChainMap(new, self.kept)
+        get, out = table.__getitem__, []
+        for s, first, known in zip(split, firsts, after, strict=True):
+            if known:
+                out.append(b"".join(map(get, s))[4:])
+            else:
+                out.append((self._ids([first])[0].tobytes() if first else b"") + b"".join(map(get, s[1:])))
+        return out
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -147,8 +222,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
 
     Parts are ranges of doc_id, so parts in order and rows in order are the corpus in
     ascending doc_id order. A null text is empty: its end id alone. Null doc_ids come
-    first; rows of one doc_id are ordered by text. Other columns are ignored; an
-    empty table gives a store of no segments.
+    first; rows of one doc_id are ordered by text. doc_id may be of any ordered type.
+    Other columns are ignored; an empty table gives a store of no segments. A text of
+    any length is encoded whole, and a segment holds one such document at least.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -159,29 +235,28 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
         from pyspark import TaskContext
 
         encode, part, seq = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
-        before = 0
-        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("payload", pa.binary())])
+        before, n = 0, 0
         doc_ids, lengths, held = [], [], []
 
-        def closed() -> pa.RecordBatch:
+        def closed(id_type: pa.DataType) -> pa.RecordBatch:
+            schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(id_type)), ("lengths", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("payload", pa.binary())])
             payload = pack_codes(np.frombuffer(b"".join(held), "<u4"))
-            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "before": before, "doc_ids": doc_ids, "lengths": lengths, "n_tokens": sum(lengths), "payload": payload}], schema)
+            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "before": before, "doc_ids": doc_ids, "lengths": lengths, "n_tokens": n, "payload": payload}], schema)
 
-        n = 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(ids), 64):
-                for doc_id, codes in zip(ids[at : at + 64], encode(texts[at : at + 64]), strict=True):
+            ids, texts, id_type = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(0).type
+            for at, end in runs_of_texts(texts):
+                for doc_id, codes in zip(ids[at:end], encode(texts[at:end]), strict=True):
                     held += [codes, tail]
                     doc_ids.append(doc_id)
                     lengths.append((len(codes) + len(tail)) // 4)
                     n += lengths[-1]
                     if n >= segment:
-                        yield closed()
+                        yield closed(id_type)
                         before += n
                         doc_ids, lengths, held, n, seq = [], [], [], 0, seq + 1
         if doc_ids:
-            yield closed()
+            yield closed(id_type)
 
     rows = docs.select("doc_id", whole_text().alias("text")).repartitionByRange(n_parts or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(run, f"part int, seq int, before long, doc_ids array<{kind}>, lengths array<bigint>, n_tokens long, payload binary").write.option("compression", "zstd").parquet(f"{path}/segments")
@@ -205,46 +280,56 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the store's files."""
+    """doc_id, start, n_tokens, ids_crc32, middle_id of each document, from the store's files.
+
+    The checksum is that of all ids, decoded level by level; middle_id, the id at half of
+    the document (null where it has none), is read by itself through the rank directory.
+    """
     small_batches(spark)
     stored = segments(spark, path)
     kind = stored.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                data, at, crcs = Codes(row["payload"]).all().astype("<u4", copy=False), 0, []
-                for n in row["lengths"]:
-                    crcs.append(zlib.crc32(data[at : at + n]))
-                    at += n
-                lengths = np.array(row["lengths"], np.int64)
-                starts = row["first_token"] + np.cumsum(lengths) - lengths
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(lengths), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            for k in range(batch.num_rows):
+                doc_ids, lengths = batch.column(0)[k].values, batch.column(1)[k].values.to_numpy()
+                codes = Codes(batch.column(2)[k].as_py())
+                data, ends = codes.all().astype("<u4", copy=False), np.cumsum(lengths)
+                crcs = [zlib.crc32(data[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                some = lengths > 0
+                middle = np.zeros(len(lengths), np.int64)
+                middle[some] = codes.take((ends - lengths + lengths // 2)[some])
+                starts = batch.column(3)[k].as_py() + ends - lengths
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts), pa.array(lengths), pa.array(crcs, pa.int64()), pa.array(middle, mask=~some)], ["doc_id", "start", "n_tokens", "ids_crc32", "middle_id"])
 
     rows = stored.select("doc_ids", "lengths", "payload", "first_token")
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, middle_id long")
 
 
-def lookup(positions: DataFrame, path: str, segment: int = SEGMENT) -> DataFrame:
+def lookup(positions: DataFrame, path: str, segment: int = SEGMENT, asked_at_once: int = 1 << 16) -> DataFrame:
     """position, token for each row of positions (position long), by random access.
 
     Segments are matched by equal buckets of positions, so neither side is crossed
-    with the other. Positions outside the store, and nulls, get no row.
+    with the other. Each position is read once; those of one range of asked_at_once
+    positions of a segment travel together, so a list has that length at most however
+    many rows ask for it. Positions outside the store, and nulls, get no row.
     """
     spark = positions.sparkSession
+    small_batches(spark)
     index = segments(spark, path).select("part", "seq", "n_tokens", "first_token").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first_token") / segment), F.floor((F.col("first_token") + F.greatest("n_tokens", F.lit(1)) - 1) / segment))))
-    asked = positions.select("position", F.floor(F.col("position") / segment).alias("bucket"))
+    asked = positions.select("position").distinct().withColumn("bucket", F.floor(F.col("position") / segment))
     found = asked.join(index, "bucket").filter((F.col("position") >= F.col("first_token")) & (F.col("position") < F.col("first_token") + F.col("n_tokens")))
-    # positions of a segment travel in lists of a bounded length, each with the payload once
-    asks = found.withColumn("run", F.floor(F.pmod(F.xxhash64("position"), F.lit(16)))).groupBy("part", "seq", "run").agg(F.collect_list(F.struct("position", (F.col("position") - F.col("first_token")).alias("i"))).alias("asks"))
+    asks = found.groupBy("part", "seq", "first_token", F.floor(F.col("position") / asked_at_once).alias("range")).agg(F.collect_list("position").alias("asks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                codes = Codes(row["payload"])
-                yield pa.RecordBatch.from_arrays([pa.array([a["position"] for a in row["asks"]], pa.int64()), pa.array([codes[a["i"]] for a in row["asks"]], pa.int64())], ["position", "token"])
+            for k in range(batch.num_rows):
+                places = batch.column(0)[k].values.to_numpy()
+                ids = Codes(batch.column(2)[k].as_py()).take(places - batch.column(1)[k].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(ids.astype(np.int64))], ["position", "token"])
 
-    return asks.join(spark.read.parquet(f"{path}/segments").select("part", "seq", "payload"), ["part", "seq"]).select("asks", "payload").mapInArrow(run, "position long, token long")
+    read = asks.join(spark.read.parquet(f"{path}/segments").select("part", "seq", "payload"), ["part", "seq"]).select("asks", "first_token", "payload").mapInArrow(run, "position long, token long")
+    return positions.select("position").join(read, "position")
 
 
 def fresh_store(spark: SparkSession) -> str:

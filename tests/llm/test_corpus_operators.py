@@ -52,6 +52,31 @@ def test_token_counts(docs, library):
     assert token_counts.count_tokens(docs.limit(0), BPE).count() == 0
 
 
+def test_pieces_give_the_librarys_ids(library):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    encoder = token_store.PieceEncoder(BPE, kept=5)
+    texts = st.text(alphabet=st.sampled_from(list("ab' 1\n\t!é你\u3000\x85\xa0\r")), max_size=30).map(lambda x: x.replace("!!", "<|endoftext|>"))
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(texts, min_size=1, max_size=4))
+    def same(some):
+        assert encoder.encode(some) == [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in some]
+
+    same()
+    assert encoder.encode(["x" * 300_000 + " y", "a" + " " * 100_000 + "b"]) == [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ("x" * 300_000 + " y", "a" + " " * 100_000 + "b")]
+
+
+def test_tokenizers_of_other_kinds_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other = Tokenizer.from_file(path)
+    texts = ["Two  words, ONE text", "", "a\nb c"]
+    assert token_store.PieceEncoder(path).encode(texts) == [np.array(other.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_codes_give_any_token():
     rng = np.random.default_rng(1)
     for n in (0, 1, 511, 512, 513, 5000):
@@ -59,6 +84,7 @@ def test_codes_give_any_token():
         codes = token_store.Codes(token_store.pack_codes(ids))
         assert (codes.all() == ids).all() and len(codes) == n
         assert [codes[i] for i in range(0, n, 7)] == ids[::7].tolist()
+        assert (codes.take(np.arange(0, n, 3)) == ids[::3]).all()
     with pytest.raises(IndexError):
         token_store.Codes(token_store.pack_codes(np.zeros(1, np.uint32)))[1]
 
@@ -69,12 +95,15 @@ def test_token_store(spark, docs, library, tmp_path):
     expected, whole = [], []
     for i, t in ordered:
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
-        expected.append((i, len(whole), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        expected.append((i, len(whole), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids[len(ids) // 2]))
         whole += ids
-    assert by_row(token_store.read_documents(spark, path).collect(), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(map(repr, expected))
-    asked = [0, 1, 17, len(whole) // 2, len(whole) - 1, len(whole), None]
-    found = token_store.lookup(spark.createDataFrame([(p,) for p in asked], "position long"), path, 50).collect()
-    assert {r.position: r.token for r in found} == {p: whole[p] for p in asked if p is not None and p < len(whole)}
+    assert by_row(token_store.read_documents(spark, path).collect(), "doc_id", "start", "n_tokens", "ids_crc32", "middle_id") == sorted(map(repr, expected))
+    asked = [0, 1, 17, 17, len(whole) // 2, len(whole) - 1, len(whole), None]
+    found = token_store.lookup(spark.createDataFrame([(p,) for p in asked], "position long"), path, 50, 20).collect()
+    assert sorted((r.position, r.token) for r in found) == sorted((p, whole[p]) for p in asked if p is not None and p < len(whole))
+    names = docs.select(F.concat(F.lit("id"), F.lpad(F.col("doc_id").cast("string"), 3, "0")).alias("doc_id"), "text")
+    named = token_store.write_tokens(names, BPE, f"file://{tmp_path}/named", n_parts=3)
+    assert by_row(token_store.read_documents(spark, named).collect(), "n_tokens", "ids_crc32") == sorted(repr(e[2:4]) for e in expected)
     empty = token_store.write_tokens(docs.limit(0), BPE, f"file://{tmp_path}/empty")
     assert token_store.read_documents(spark, empty).count() == 0
 
