@@ -1,147 +1,356 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models, one of a target (documents labelled as good) and one of the whole
-corpus, share one vocabulary and one smoothing, and the background's counts are
-brought to the target's number of tokens, so that the models differ in what they have
-seen alone. A document's score is the mean, over its tokens, of the loss under the
-target less the loss under the background: the lower, the more like the target.
-
-The vocabulary has a fixed size: an end symbol, the most frequent words of the corpus
-and hashed classes for all other words. A model is one number for each pair of its
-entries, so what is collected and broadcast has a bound, though all tokens of all
-documents are counted.
+corpus, share one vocabulary, all words of the corpus, and one smoothing; the
+background's counts are brought to the target's number of tokens, so that the models
+differ in what they have seen alone. A document's score is the mean, over its tokens, of
+the loss under the target less the loss under the background: the lower, the more like
+the target. A document is never scored by its own counts: they are taken from both
+models first, so what a model knows of a text it knows from other rows.
+
+    P(word | before) = (pairs(before, word) + SMOOTH * P(word)) / (words(before) + SMOOTH)
+    P(word) = (words(word) + 1) / (tokens + vocabulary)
+
+The models are as large as the corpus makes them and are never gathered anywhere. Pairs
+are dealt out by their word, so a share holds all pairs of its words and, with them, the
+words' own counts; the loss's denominator, which is about the word before, is booked
+where that word is the predicted one. So one shuffle brings pairs together for counting
+and for scoring, and a second one the sums by document. Pairs travel in packed arrays, one
+row for each batch of documents and share.
+
+Words and pairs so frequent that they would crowd a share are known before: of each batch
+those with a quarter of a share's part are gathered, so whatever has half a share's part
+of the corpus is among them. There are at most four for each share. Their counts are broadcast, a
+frequent word's pairs are dealt out by pair and a frequent pair's documents by batch.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole_text
+from .common import ARROW_ROWS, small_batches, stored, whole_text
 
-#: Entries of the vocabulary: 0 is the end symbol, then words, then classes of other words.
-WORDS, CLASSES = 1535, 512
-SIZE = 1 + WORDS + CLASSES
 #: Weight of a word's overall share against its share after one word, in tokens.
 SMOOTH = 50.0
-#: Words whose entry a worker keeps. More are looked up anew: speed alone depends on it.
-KEPT = 500_000
-SPACE = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of text whose pairs make one share, about four million tokens.
+SHARE_BYTES = 24_000_000
+#: Good documents' ids are broadcast up to so many; beyond, texts meet them in a shuffle.
+FEW = 1_000_000
+#: Registers of the estimate of the vocabulary's size.
+REGISTERS = 1 << 14
+#: Losses travel as whole multiples of 1 / UNIT bits, so sums don't depend on their order.
+UNIT = 1 << 16
+SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def pair_hash(word: np.ndarray, before: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (word ^ (before << np.uint64(31) | before >> np.uint64(33))) * _MIX
+        return x ^ x >> np.uint64(29)
+
+
+class Pairs:
+    """The pairs of adjacent words of some whole texts, an end symbol before and after each text.
+
+    hashes: of the distinct words. word, before: places in hashes; doc: place of the text; one entry a pair.
+    """
+
+    def __init__(self, texts: list[str]):
+        known: dict[bytes, int] = defaultdict(count().__next__)
+        flat, sizes = [], []
+        for text in texts:
+            own = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+            flat.append(b"")  # the end symbol
+            flat += own
+            sizes.append(len(own) + 1)
+        flat.append(b"")
+        ids = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in known), np.uint64, len(known))
+        self.sizes = np.array(sizes, np.int64)
+        self.word, self.before = ids[1:], ids[:-1]
+        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
+
+    def __len__(self) -> int:
+        return len(self.word)
+
+
+def runs(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.empty(0, np.int64)
 
 
-def vocabulary(docs: DataFrame, words: int = WORDS) -> list[str]:
-    """The most frequent words of all documents, of equally frequent ones the first in order."""
-    found = docs.select(F.explode(F.split(F.translate(whole_text(), UPPER, LOWER), SPACE)).alias("word")).filter("word != ''")
-    top = found.groupBy("word").count().orderBy(F.desc("count"), "word").limit(words)
-    return [r["word"] for r in top.collect()]
+def among(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each value is one of the sorted keys, and its place there."""
+    if not len(keys):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.searchsorted(keys, values)
+    at[at == len(keys)] = 0
+    return keys[at] == values, at
 
 
-class Entries(dict):
-    """Vocabulary entries by word."""
+@dataclass
+class Frequent:
+    """Counts of the frequent words and pairs, by sorted hash: (target, background); and the totals of both."""
 
-    def __init__(self, words: list[str]):
-        super().__init__({w.encode("utf-8"): 1 + i for i, w in enumerate(words)})
-        self.first, self.most = 1 + len(words), len(words) + KEPT
+    shares: int
+    words: np.ndarray
+    pairs: np.ndarray
+    word_counts: np.ndarray
+    pair_counts: np.ndarray
+    tokens: tuple[int, int]
+    vocabulary: int
 
-    def __missing__(self, word: bytes) -> int:
-        entry = self.first + zlib.crc32(word) % CLASSES
-        if len(self) < self.most:
-            self[word] = entry
-        return entry
 
-    def of(self, text: str) -> np.ndarray:
-        """A text's entries, an end symbol before and after."""
-        found = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-        out = np.zeros(len(found) + 2, np.int64)
-        out[1:-1] = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        return out
+def marked(docs: DataFrame, labels: DataFrame, label: str, few: int = FEW) -> DataFrame:
+    """text, good and two hashes that name the row, for each row of docs."""
+    good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label")).filter(F.col("_label") == 1).select(F.col("doc_id").alias("_good"))
+    good = stored(good, "good-documents")
+    side = F.broadcast(good) if good.limit(few + 1).count() <= few else good
+    rows = docs.select("doc_id", whole_text().alias("text"))
+    joined = rows.join(side, F.col("doc_id") == F.col("_good"), "left")
+    return joined.select("text", F.col("_good").isNotNull().alias("good"), *names())
 
 
-def pair_counts(docs: DataFrame, words: list[str]) -> DataFrame:
-    """cell (before * SIZE + word), target, background: counts over docs (text, good)."""
-    spark = docs.sparkSession
-    size = 1 + len(words) + CLASSES
-    shared = spark.sparkContext.broadcast(words)
+def names() -> list[Column]:
+    """Two hashes of a row's doc_id and text. Rows equal in both have equal scores."""
+    return [F.xxhash64(F.lit(k), "doc_id", whole_text()).alias(f"k{k}") for k in (1, 2)]
+
+
+def gathered(rows: DataFrame, shares: int) -> DataFrame:
+    """kind, hash, n: what each batch has often (0 words, 1 pairs), its tokens (2), and the registers of its words (3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries = Entries(shared.value)
-        counts = np.zeros((2, size * size), np.int64)
         for batch in batches:
-            held: tuple[list, list] = ([], [])
-            for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = entries.of(text)
-                held[bool(good)].append(own[:-1] * size + own[1:])
-            for k in (0, 1):
-                if held[k]:
-                    cells, n = np.unique(np.concatenate(held[k]), return_counts=True)
-                    counts[k, cells] += n
-        counts[0] += counts[1]
-        cells = np.flatnonzero(counts[0])
-        for at in range(0, len(cells), 200_000):
-            some = cells[at : at + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[1, some]), pa.array(counts[0, some])], ["cell", "target", "background"])
-
-    rows = docs.select(whole_text().alias("text"), "good").mapInArrow(run, "cell int, target long, background long")
-    return rows.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
-    """-log2 P(word | before) by pair counts, smoothed with the words' overall shares and those with equal shares."""
-    size = len(counts)
-    words = counts.sum(axis=0)
-    share = (words + 1.0) / (words.sum() + size)
-    return -np.log2((counts + SMOOTH * share[None, :]) / (counts.sum(axis=1, keepdims=True) + SMOOTH)).astype(np.float32)
-
-
-def models(docs: DataFrame, labels: DataFrame, words: list[str], label: str = "quality") -> tuple[np.ndarray, np.ndarray]:
-    """Losses of the target and the background, by pair of entries."""
-    good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max(label) == 1).alias("good"))
-    marked = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left")
-    size = 1 + len(words) + CLASSES
-    target, background = np.zeros(size * size), np.zeros(size * size)
-    rows = pair_counts(marked, words).toArrow()  # at most size * size rows
-    cells = rows.column("cell").to_numpy()
-    target[cells], background[cells] = rows.column("target").to_numpy(), rows.column("background").to_numpy()
-    if background.sum():
-        background *= max(target.sum(), 1) / background.sum()
-    return losses(target.reshape(size, size)), losses(background.reshape(size, size))
-
-
-def score(docs: DataFrame, labels: DataFrame, label: str = "quality", words: int = WORDS) -> DataFrame:
+            own = Pairs(batch.column(0).to_pylist())
+            least = len(own) / (4 * shares)
+            words = np.bincount(own.word, minlength=len(own.hashes))
+            often = words >= least
+            ordered = np.sort(own.word * len(own.hashes) + own.before)
+            starts = runs(ordered)
+            times = np.diff(np.append(starts, len(ordered)))
+            some = ordered[starts[times >= least]]
+            pairs = pair_hash(own.hashes[some // len(own.hashes)], own.hashes[some % len(own.hashes)])
+            register = (own.hashes % np.uint64(REGISTERS)).astype(np.int64)
+            rest = own.hashes // np.uint64(REGISTERS) | np.uint64(1 << 50)
+            rank = 1 + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+            most = np.zeros(REGISTERS, np.int64)
+            np.maximum.at(most, register, rank)
+            used = np.flatnonzero(most)
+            parts = [(0, own.hashes[often].view(np.int64), words[often]), (1, pairs.view(np.int64), times[times >= least]), (2, np.zeros(1, np.int64), np.array([len(own)])), (3, used, most[used])]
+            for kind, hashes, n in parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int8)), pa.array(hashes), pa.array(n.astype(np.int64))], ["kind", "hash", "n"])
+
+    found = rows.select("text").mapInArrow(run, "kind byte, hash long, n long")
+    return found.groupBy("kind", "hash").agg(F.when(F.col("kind") == 3, F.max("n")).otherwise(F.sum("n")).alias("n"))
+
+
+def vocabulary_size(registers: np.ndarray) -> int:
+    """How many distinct words filled the registers (HyperLogLog); nearly exact where many are empty."""
+    m, empty = REGISTERS, REGISTERS - len(registers)
+    raw = 0.7213 / (1 + 1.079 / m) * m * m / (empty + np.sum(2.0 ** -registers.astype(np.float64)))
+    return round(m * math.log(m / empty)) if raw <= 2.5 * m and empty else round(raw)
+
+
+def frequent(rows: DataFrame, share_bytes: int = SHARE_BYTES) -> Frequent:
+    """The frequent words and pairs of rows (text, good), with their whole counts."""
+    spark = rows.sparkSession
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    shares = max(1, math.ceil(size / share_bytes))
+    seen = stored(gathered(rows, shares), "frequent")
+    tokens = seen.filter("kind = 2").agg(F.sum("n").alias("n")).first()["n"] or 0
+    ranks = np.array([r["n"] for r in seen.filter("kind = 3").select("n").collect()], np.int64)  # at most REGISTERS
+    keep = seen.filter((F.col("kind") < 2) & (F.col("n") * 4 * shares >= tokens)).select("kind", "hash").collect()  # at most 4 * shares of each kind
+    words, pairs = (np.sort(np.array([r["hash"] for r in keep if r["kind"] == k], np.int64).view(np.uint64)) for k in (0, 1))
+    shared = spark.sparkContext.broadcast((words, pairs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs = shared.value
+        for batch in batches:
+            own = Pairs(batch.column(0).to_pylist())
+            good = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[own.doc]
+            is_word, place = among(own.hashes, words)
+            some = np.flatnonzero(is_word[own.word])
+            at = place[own.word[some]]
+            is_pair, pair_at = among(pair_hash(own.hashes[own.word[some]], own.hashes[own.before[some]]), pairs)
+            parts = [(0, at, good[some], len(words)), (1, pair_at[is_pair], good[some][is_pair], len(pairs)), (2, np.zeros(len(own), np.int64), good, 1)]
+            for kind, at, mine, n in parts:
+                background, target = np.bincount(at, minlength=n), np.bincount(at[mine], minlength=n)
+                used = np.flatnonzero(background)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), kind, np.int8)), pa.array(used), pa.array(target[used]), pa.array(background[used])], ["kind", "at", "target", "background"])
+
+    counted = rows.select("text", "good").mapInArrow(run, "kind byte, at long, target long, background long").groupBy("kind", "at").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    counts = [np.zeros((n, 2), np.int64) for n in (len(words), len(pairs), 1)]
+    for r in counted.collect():  # at most 4 * shares of each kind, and one
+        counts[r["kind"]][r["at"]] = r["target"], r["background"]
+    return Frequent(shares, words, pairs, counts[0], counts[1], tuple(int(x) for x in counts[2][0]), vocabulary_size(ranks))
+
+
+def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, ARROW_ROWS at most at a time, whatever the session's batches are."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ARROW_ROWS):
+            yield batch.slice(at, ARROW_ROWS)
+
+
+PACKED = "share int, keys binary, sizes binary, words binary, lengths binary, befores binary, docs binary, times binary, own binary"
+
+
+def packed(rows: DataFrame, known: Frequent) -> DataFrame:
+    """A row for each batch of rows (text, good, k1, k2) and share.
+
+    keys, sizes: of each text its two names and mark, and its tokens; words, lengths: the
+    share's words and how many entries each has; befores, docs, times, own: of each
+    entry, a distinct pair in a text, the word before, the text, how often the text has
+    the pair, and how often the word.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((known.shares, known.words, known.pairs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shares, words, pairs = shared.value
+        for number, batch in enumerate(batches_of(batches)):
+            texts = Pairs(batch.column(0).to_pylist())
+            # words in the order of their shares and hashes, so that sorted entries are sorted by share
+            share = ((texts.hashes >> np.uint64(32)) % np.uint64(shares)).astype(np.int64)
+            order = np.lexsort((texts.hashes, share))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            hashes, share = texts.hashes[order], share[order]
+            n, n_docs = len(hashes), len(texts.sizes)
+            word, before = place[texts.word], place[texts.before]
+            ordered = np.sort((word * n + before) * n_docs + texts.doc) if n * n * n_docs < 1 << 62 else None
+            if ordered is None:
+                by = np.lexsort((texts.doc, before, word))
+                word, before, doc = word[by], before[by], texts.doc[by]
+                starts = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (before[1:] != before[:-1]) | (doc[1:] != doc[:-1])))
+                word, before, doc = word[starts], before[starts], doc[starts]
+                total = len(by)
+            else:
+                starts, total = runs(ordered), len(ordered)
+                doc, word, before = ordered[starts] % n_docs, ordered[starts] // n_docs // n, ordered[starts] // n_docs % n
+            times = np.diff(np.append(starts, total))
+            mine = word * n_docs + doc
+            by = np.argsort(mine)
+            first = runs(mine[by])
+            own = np.empty(len(mine), np.int64)
+            own[by] = np.repeat(np.add.reduceat(times[by], first), np.diff(np.append(first, len(by))))
+            # a frequent word's entries go by pair, a frequent pair's by batch
+            goes = share[word]
+            often, _ = among(hashes, words)
+            some = np.flatnonzero(often[word])
+            pair = pair_hash(hashes[word[some]], hashes[before[some]])
+            goes[some] = ((pair >> np.uint64(7)) % np.uint64(shares)).astype(np.int64)
+            crowded, _ = among(pair, pairs)
+            goes[some[crowded]] = (goes[some[crowded]] + int(texts.hashes[-1] >> np.uint64(40)) + number) % shares
+            by = np.argsort(goes.astype(np.uint16) if shares <= 1 << 16 else goes, kind="stable")
+            goes, word, before, doc, times, own = (x[by] for x in (goes, word, before, doc, times, own))
+            keys = np.stack([np.array(batch.column(k)).astype(np.int64) for k in (2, 3, 1)], axis=1).tobytes()
+            sizes = texts.sizes.astype(np.int32).tobytes()
+            cuts = runs(goes)
+            for at, end in zip(cuts, np.append(cuts[1:], len(goes)), strict=True):
+                first = runs(word[at:end])
+                lengths = np.diff(np.append(first, end - at)).astype(np.int32)
+                row = [keys, sizes, hashes[word[at:end][first]].tobytes(), lengths.tobytes(), hashes[before[at:end]].tobytes(), doc[at:end].astype(np.int16).tobytes(), times[at:end].astype(np.int32).tobytes(), own[at:end].astype(np.int32).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([goes[at]], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], ["share", "keys", "sizes", "words", "lengths", "befores", "docs", "times", "own"])
+
+    return rows.select("text", "good", "k1", "k2").mapInArrow(run, PACKED)
+
+
+def entry_losses(known: Frequent, word: np.ndarray, before: np.ndarray, times: np.ndarray, own: np.ndarray, size: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each entry, the bits that it adds to its text's loss under the target and under the background.
+
+    word, before: hashes; times, own: how often the entry's text has the pair and the
+    word; size, good: the text's tokens and whether it is in the target. All entries of a
+    word and of a pair are given, but for those whose counts are known as frequent.
+    """
+    distinct, word = np.unique(word, return_inverse=True)
+    bits = max(1, int(len(distinct)).bit_length())
+    key = word.astype(np.uint64) << np.uint64(64 - bits) | before >> np.uint64(bits)
+    by = np.argsort(key)
+    starts = runs(key[by])
+    of_pair = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(by))))
+    first = by[starts]
+    word_at, is_word = among(distinct, known.words)[::-1]
+    pair_is, pair_at = among(pair_hash(distinct[word[first]], before[first]), known.pairs)
+    out = []
+    total_t, total_b = known.tokens
+    for k, weight in ((0, good.astype(np.int64)), (1, None)):
+        mine = times if weight is None else times * weight
+        pairs = np.add.reduceat(mine[by], starts)
+        words = np.bincount(word, mine, len(distinct))
+        words[is_word] = known.word_counts[word_at[is_word], k]
+        pairs[pair_is] = known.pair_counts[pair_at[pair_is], k]
+        scale = 1.0 if k == 0 else max(total_t, 1) / max(total_b, 1)
+        left = 1 if weight is None else weight
+        n_pair = np.empty(len(by))
+        n_pair[by] = pairs[of_pair]
+        n_pair = (n_pair - times * left) * scale
+        n_word = (words[word] - own * left) * scale
+        tokens = ((total_t if k == 0 else total_b) - size * left) * scale
+        share = (n_word + 1.0) / (tokens + known.vocabulary)
+        out.append(times * (np.log2(n_word + SMOOTH) - np.log2(n_pair + SMOOTH * share)))
+    return out[0], out[1]
+
+
+def summed(rows: DataFrame, known: Frequent) -> DataFrame:
+    """k1, k2, n_tokens, counted, target, background: of each text, over the pairs of one share of rows (packed)."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+
+    def done(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        numbers = lambda name, kind: np.frombuffer(b"".join(r[name] for r in held), kind)
+        keys = numbers("keys", np.int64).reshape(-1, 3)
+        sizes = numbers("sizes", np.int32)
+        firsts = np.cumsum([0, *(len(r["sizes"]) // 4 for r in held)])
+        of_row = np.repeat(firsts[:-1], [len(r["docs"]) // 2 for r in held])
+        doc = numbers("docs", np.int16).astype(np.int64) + of_row
+        word = np.repeat(numbers("words", np.uint64), numbers("lengths", np.int32))
+        times = numbers("times", np.int32).astype(np.int64)
+        target, background = entry_losses(shared.value, word, numbers("befores", np.uint64), times, numbers("own", np.int32).astype(np.int64), sizes[doc], keys[doc, 2] > 0)
+        n = np.bincount(doc, times, len(keys))
+        sums = [np.rint(np.bincount(doc, x, len(keys)) * UNIT).astype(np.int64) for x in (target, background)]
+        for at in range(0, len(keys), 100_000):
+            some = at + np.flatnonzero(n[at : at + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[some, 0], keys[some, 1], sizes[some].astype(np.int64), n[some].astype(np.int64), sums[0][some], sums[1][some])], ["k1", "k2", "n_tokens", "counted", "target", "background"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["share"] != row["share"]:
+                    yield from done(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from done(held)
+
+    dealt = rows.repartitionById(known.shares, "share").sortWithinPartitions("share")
+    return dealt.mapInArrow(run, "k1 long, k2 long, n_tokens long, counted long, target long, background long")
+
+
+def score(docs: DataFrame, labels: DataFrame, label: str = "quality", few: int = FEW, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score for each row of docs (doc_id, text).
 
     n_tokens counts the words and the end symbol after them. A null or empty text is
     the end symbol alone. Labels that are null or missing leave a document out of the
     target; documents with a null doc_id are never in it. Without any target both
-    models say what overall shares say. Repeated rows are repeated; an empty table
-    gives an empty result; other columns are ignored.
+    models say what overall shares say. Repeated rows are repeated, and each knows the
+    others' counts; an empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    known = vocabulary(docs, words)
-    target, background = models(docs, labels, known, label)
-    size = len(target)
-    shared = spark.sparkContext.broadcast((known, target.ravel(), background.ravel()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, target, background = shared.value
-        entries = Entries(known)
-        for batch in batches:
-            n, t, b = [], [], []
-            for text in batch.column(1).to_pylist():
-                own = entries.of(text)
-                cells = own[:-1] * size + own[1:]
-                n.append(len(cells))
-                t.append(float(target[cells].mean(dtype=np.float64)))
-                b.append(float(background[cells].mean(dtype=np.float64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64())], ["doc_id", "n_tokens", "target_loss", "background_loss"])
-
-    scored = docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, target_loss double, background_loss double")
-    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    small_batches(docs.sparkSession)
+    rows = marked(docs, labels, label, few)
+    known = frequent(rows, share_bytes)
+    sums = summed(packed(rows, known), known).groupBy("k1", "k2").agg(F.max("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("counted", "target", "background")])
+    loss = lambda c: F.col(c) / (UNIT * F.col("counted"))
+    joined = docs.select("doc_id", *names()).join(sums, ["k1", "k2"])
+    return joined.select("doc_id", "n_tokens", loss("target").alias("target_loss"), loss("background").alias("background_loss")).withColumn("score", F.col("target_loss") - F.col("background_loss"))

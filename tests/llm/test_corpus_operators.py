@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small tables, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import collections
+import math
 import re
 import zlib
 
@@ -268,23 +269,51 @@ def test_quality_classifier(spark, docs):
     assert quality_classifier.train([]).score(0.0) == 0.5
 
 
-def test_lm_scoring(spark, docs):
-    rows = [(i, "calm words flow here and there" if i % 2 else "junk junk noise noise bits") for i in range(40)]
-    table = spark.createDataFrame([*rows, (None, None)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows if i < 30] + [(1, None)], "doc_id long, quality int")
-    found = {r.doc_id: r for r in lm_scoring.score(table, labels, words=20).collect()}
-    assert len(found) == 41 and found[None].n_tokens == 1
-    assert found[31].score < 0 < found[32].score
-    counts = np.zeros((533, 533))
-    words = lm_scoring.vocabulary(table, 20)
-    entries = lm_scoring.Entries(words)
-    for _, t in [*rows, (None, "")]:
-        own = entries.of(t)
-        for a, b in zip(own, own[1:], strict=False):
-            counts[a, b] += 1
-    size = 1 + len(words) + lm_scoring.CLASSES
-    good = sum(len(entries.of(t)) - 1 for i, t in rows if i < 30 and i % 2)
-    counts = counts[:size, :size] * good / counts.sum()
-    own = entries.of(rows[1][1])
-    assert found[1].background_loss == pytest.approx(float(lm_scoring.losses(counts)[own[:-1], own[1:]].mean()), abs=1e-5)
+def losses_by_hand(rows, good, vocabulary):
+    """(n_tokens, target loss, background loss) of each row of rows, by the formulas, each row's own counts left out."""
+    lower = lambda t: [w.decode() for w in (t or "").encode().translate(lm_scoring._LOWER).split()]
+    texts = [["", *lower(t), ""] for _, t in rows]
+    count = lambda some: (collections.Counter(w for t in some for w in t[1:]), collections.Counter(p for t in some for p in zip(t, t[1:])))
+    both = [count([t for (i, _), t in zip(rows, texts) if i in good]), count(texts)]
+    assert vocabulary == pytest.approx(len(both[1][0]), rel=0.02)
+    out = []
+    scale = max(both[0][0].total(), 1) / max(both[1][0].total(), 1)
+    for (i, _), t in zip(rows, texts):
+        own_words, own_pairs = count([t])
+        loss = []
+        for (words, pairs), times, left in ((both[0], 1.0, i in good), (both[1], scale, 1)):
+            c = lambda w: (words[w] - own_words[w] * left) * times  # noqa: B023, E731
+            total = (words.total() - (len(t) - 1) * left) * times
+            p = [((pairs[x, w] - own_pairs[x, w] * left) * times + 50 * (c(w) + 1) / (total + vocabulary)) / (c(x) + 50) for x, w in zip(t, t[1:])]
+            loss.append(-sum(map(math.log2, p)) / len(p))
+        out.append((len(t) - 1, *loss))
+    return out
+
+
+@pytest.mark.parametrize("share_bytes, few", [(24_000_000, 1000), (3000, 0), (200, 1000)])
+def test_lm_scoring(spark, docs, share_bytes, few):
+    rows = [*TEXTS, *[(100 + i, f"Good words {i} stand here for the target {i % 3} and the") for i in range(40)], *[(200 + i, "xx " * i + "bad yy zz") for i in range(40)]]
+    table = spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], KINDS).repartition(5)
+    labels = spark.createDataFrame([(i, int(i < 130), 0) for i in range(90, 240)] + [(None, 1, 0), (1, None, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
+    found = lm_scoring.score(table, labels, few=few, share_bytes=share_bytes).collect()
+    known = lm_scoring.frequent(lm_scoring.marked(table, labels, "quality"), share_bytes)
+    assert len(known.words) <= 4 * known.shares and len(known.pairs) <= 4 * known.shares
+    expected = losses_by_hand(rows, {7, *range(100, 130)}, known.vocabulary)
+    # rows equal in id and text are told apart by nothing
+    by_id = {i: e for (i, _), e in zip(rows, expected)}
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in found) == sorted((i is None, i or 0) for i, _ in rows)
+    for r in found:
+        n, target, background = by_id[r.doc_id]
+        assert r.n_tokens == n
+        assert (r.target_loss, r.background_loss, r.score) == pytest.approx((target, background, target - background), abs=1e-4)
     assert lm_scoring.score(docs.limit(0), labels).count() == 0
+    nothing = lm_scoring.score(table, labels.limit(0)).collect()
+    assert len(nothing) == len(rows)
+
+
+def test_vocabulary_size(spark):
+    for n in (1, 500, 60_000):
+        rows = spark.createDataFrame([(" ".join(f"w{i}" for i in range(n)),)], "text string")
+        ranks = np.array([r["n"] for r in lm_scoring.gathered(rows, 1).filter("kind = 3").collect()], np.int64)
+        assert lm_scoring.vocabulary_size(ranks) == pytest.approx(n + 1, rel=0.03)
+    assert lm_scoring.vocabulary_size(np.empty(0, np.int64)) == 0
