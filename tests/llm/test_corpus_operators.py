@@ -283,7 +283,7 @@ def losses_by_hand(rows, good, vocabulary):
         loss = []
         for (words, pairs), times, left in ((both[0], 1.0, i in good), (both[1], scale, 1)):
             c = lambda w: (words[w] - own_words[w] * left) * times  # noqa: B023, E731
-            total = (words.total() - (len(t) - 1) * left) * times
+            total = words.total() * times
             p = [((pairs[x, w] - own_pairs[x, w] * left) * times + 50 * (c(w) + 1) / (total + vocabulary)) / (c(x) + 50) for x, w in zip(t, t[1:])]
             loss.append(-sum(map(math.log2, p)) / len(p))
         out.append((len(t) - 1, *loss))
@@ -299,7 +299,6 @@ def test_lm_scoring(spark, docs, share_bytes, few):
     known = lm_scoring.frequent(lm_scoring.marked(table, labels, "quality"), share_bytes)
     assert len(known.words) <= 4 * known.shares and len(known.pairs) <= 4 * known.shares
     expected = losses_by_hand(rows, {7, *range(100, 130)}, known.vocabulary)
-    # rows equal in id and text are told apart by nothing
     by_id = {i: e for (i, _), e in zip(rows, expected)}
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in found) == sorted((i is None, i or 0) for i, _ in rows)
     for r in found:
