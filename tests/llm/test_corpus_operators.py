@@ -109,23 +109,42 @@ def test_token_store(spark, docs, library, tmp_path):
     assert token_store.read_documents(spark, empty).count() == 0
 
 
-def test_sharding(spark, docs):
-    rows = [(i, f"text {i % 37} " + "x" * (i % 50)) for i in range(600)] + [(1000 + i, "hot") for i in range(400)]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    found = sharding.pack(table, 8, cells=64).collect()
-    assert len(found) == 1000
-    slots, sizes = collections.defaultdict(list), collections.Counter()
+@pytest.mark.parametrize("cells, piece", [(64, 7), (4096, 100_000)])
+def test_sharding(spark, docs, cells, piece):
+    rows = [(i, f"text {i % 37} " + "x" * (i % 50)) for i in range(600)] + [(None, "hot")] * 200 + [(1000 + i, "hot") for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sharding.pack(table, 8, cells=cells, piece=piece).collect()
+    assert by_row(found, "doc_id", "text_crc32") == sorted(repr((i, zlib.crc32(t.encode()))) for i, t in rows)
+    slots, sizes, shards_of = collections.defaultdict(list), collections.Counter(), collections.defaultdict(set)
     for r in found:
         slots[r.shard].append(r.slot)
         sizes[r.shard] += r["size"]
+        shards_of[r.text_crc32].add(r.shard)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 8
-    assert max(sizes.values()) < 1.1 * sum(sizes.values()) / 8
+    assert max(sizes.values()) < 1.1 * sum(sizes.values()) / 8 and max(map(len, slots.values())) < 1.15 * len(rows) / 8
+    # the one group of more than a shard is cut, all others are whole
+    hot = zlib.crc32(b"hot")
+    assert len(shards_of.pop(hot)) > 1 and all(len(s) == 1 for s in shards_of.values())
     small = sharding.pack(docs, 3).collect()
     assert by_row(small, "doc_id", "size", "text_crc32") == sorted(repr((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))) for i, t in TEXTS)
     assert len({r.shard for r in small if r.doc_id in (1, 7)}) == 1
     assert sharding.pack(docs.limit(0), 3).count() == 0
 
 
+def test_placement_goes_by_the_dot_product():
+    rng = np.random.default_rng(5)
+    sizes = rng.random((60, 3)) ** 3
+    sizes /= sizes.sum(axis=0)
+    items = [((i,), tuple(v)) for i, v in enumerate(sizes.tolist())] + [((60 + i,), items_size) for i, items_size in enumerate([(0.0, 0.0, 0.0)] * 3)]
+    chosen = sharding.place(items, 4)
+    room = np.full((4, 3), 0.25)
+    for name, vector in sorted(items, key=lambda x: (-max(x[1]), x[0])):
+        best = int(np.argmax((room * np.array(vector)).sum(axis=1).round(15)))
+        assert chosen[name] == best or abs(room[chosen[name]] @ vector - room[best] @ vector) < 1e-12
+        room[chosen[name]] -= vector
+    assert np.abs(room).max() < 0.05
+
+
 def brute_components(fps, tau):
     n, parent = len(fps), list(range(len(fps)))
 
