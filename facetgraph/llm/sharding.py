@@ -26,10 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir, stored, whole_text
+from .common import partitions, shared_dir, stored, whole_text
 
 CELLS = 4096
-#: Rows of a cell that get their slots in one task, about.
+#: Rows of a cell that get their slots in one task, about; fewer where the tasks outnumber such pieces.
 PIECE = 100_000
 DIMS = ("size", "tokens", "one")
 
@@ -102,6 +102,7 @@ def pack(docs: DataFrame, n_shards: int = 8, tokens: Column | None = None, cells
             items["cut", h, unit] = tuple((g[d] or 0) / t / units for d, t in zip(DIMS, total, strict=True))
             rows_of["cut", h, unit] = g["one"] // units
     shard_of = place(list(items.items()), n_shards)
+    piece = min(piece, max(1, total[2] // (4 * partitions(spark))))
     plan = [(number, name[1], name[2], name[0] == "cut", shard_of[name], 1 + rows_of[name] // piece) for number, name in enumerate(sorted(items))]
     plan_df = F.broadcast(spark.createDataFrame(plan, "item int, of long, nth long, is_cut boolean, shard int, pieces int"))
 
