@@ -24,23 +24,27 @@ from .common import stored, whole_text
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROUNDS = 30
 #: Votes that the starting parameters count as, so that a rule with few votes stays near them.
 PRIOR_VOTES = 20.0
-#: A rule votes only in clear cases: of good texts it is held to vote for this share at least.
-PRECISE = 0.985
+#: Estimated shares of votes stay between these, so that logarithms are finite; nothing else bounds them.
+RARE, SURE = 0.0001, 0.9999
 #: Where the search starts: the share of each bad way, votes for good texts, votes against bad ones.
 START = (0.03, 0.99, 0.8)
 KEEP = 0.5
 
 
-#: The way of being bad that each rule speaks of.
+#: The way of being bad that each rule speaks of. Several rules speak of each, so that their agreement tells how often each is right.
 WAYS = {
     "length": "form",
     "word_length": "form",
     "stops": "form",
     "symbols": "symbols",
+    "symbol_chars": "symbols",
+    "symbol_kinds": "symbols",
+    "punctuation": "symbols",
     "capitals": "shouting",
     "exclamations": "shouting",
     "repeated_lines": "repetition",
@@ -61,6 +65,9 @@ def rules() -> dict[str, Column]:
     return {
         "length": _vote(F.col("n_words") >= 80, F.col("n_words") < 20),
         "symbols": _vote(_share("n_symbols", "n_words") < 0.05, _share("n_symbols", "n_words") > 0.3),
+        "symbol_chars": _vote(_share("n_symbols", "word_chars") < 0.01, _share("n_symbols", "word_chars") > 0.05),
+        "symbol_kinds": _vote(F.col("n_kinds") < 2, F.col("n_kinds") > 3),
+        "punctuation": _vote(_share("n_punctuation", "word_chars") < 0.08, _share("n_punctuation", "word_chars") > 0.15),
         "capitals": _vote(_share("n_upper", "word_chars") < 0.15, _share("n_upper", "word_chars") > 0.4),
         "repeated_lines": _vote(_share("n_dup_lines", "n_lines") < 0.05, _share("n_dup_lines", "n_lines") > 0.5),
         "repeated_words": _vote(_share("n_repeat_words", "n_words") < 0.15, _share("n_repeat_words", "n_words") > 0.4),
@@ -77,7 +84,9 @@ def _without(text: Column, chars: str) -> Column:
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the counts that the rules read, for each row of docs; every other column of docs is passed on.
 
-    Names of the counts that docs has as well are overwritten by the counts.
+    Names of the counts that docs has as well are overwritten by the counts. A null text
+    is the empty one, of which all counts are 0; null doc_ids and repeated rows are rows
+    like any other; an empty table gives an empty result.
     """
     own = [c for c in docs.columns if c not in COUNTS]
     text = docs.select(*own, whole_text().alias("_text"))
@@ -105,10 +114,12 @@ def statistics(docs: DataFrame) -> DataFrame:
         (F.col("_n") - _without(F.col("_text"), UPPER)).cast("long").alias("n_upper"),
         (F.col("_n") - _without(F.col("_text"), "!")).cast("long").alias("n_marks"),
         (F.col("_n") - _without(F.col("_text"), ".?。")).cast("long").alias("n_stops"),
+        (F.col("_n") - _without(F.col("_text"), PUNCTUATION)).cast("long").alias("n_punctuation"),
+        sum((F.contains("_text", F.lit(c)).cast("long") for c in SYMBOLS), F.lit(0).cast("long")).alias("n_kinds"),
     )
 
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_stops"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_stops", "n_punctuation", "n_kinds"]
 
 
 @dataclass
@@ -150,7 +161,7 @@ def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> LabelMod
     """Expectation maximisation over patterns (pattern, n), all rounds in one SQL expression.
 
     A rule counts where it votes; an abstention says nothing. Which class is the good
-    one is fixed by holding rules to vote for PRECISE of the good texts at least. The
+    one follows from where the search starts: good texts are many, and rules are right. The
     patterns, at most 3 ** rules, are folded from one row; c are the patterns with p,
     their chances of each bad way under the model m so far.
     """
@@ -169,8 +180,8 @@ def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> LabelMod
     on_good, on_bad = [], []
     for j, k in enumerate(way_of):
         g, b = (f"1 - x.p[{k}]", f"x.p[{k}]")
-        on_good.append(f"least(greatest(({voted(j, 1, g)} + {START[1] * prior}D) / ({voted(j, 1, g)} + {voted(j, 2, g)} + {prior}D), {PRECISE}D), 0.9999D)")
-        on_bad.append(f"least(greatest(({voted(j, 2, b)} + {START[2] * prior}D) / ({voted(j, 1, b)} + {voted(j, 2, b)} + {prior}D), 0.2D), 0.98D)")
+        on_good.append(f"least(greatest(({voted(j, 1, g)} + {START[1] * prior}D) / ({voted(j, 1, g)} + {voted(j, 2, g)} + {prior}D), {RARE}D), {SURE}D)")
+        on_bad.append(f"least(greatest(({voted(j, 2, b)} + {START[2] * prior}D) / ({voted(j, 1, b)} + {voted(j, 2, b)} + {prior}D), {RARE}D), {SURE}D)")
     new = f"named_struct('s', array({', '.join(shares)}), 'g', array({', '.join(on_good)}), 'b', array({', '.join(on_bad)}))"
     start = f"named_struct('s', {doubles([START[0]] * len(ways))}, 'g', {doubles([START[1]] * len(names))}, 'b', {doubles([START[2]] * len(names))})"
     fold = f"aggregate(sequence(1, {rounds}), {start}, (m, r) -> transform(array({chances}), c -> {new})[0])"

@@ -217,8 +217,54 @@ def test_label_model_finds_bad_texts(spark):
     assert model.shares["shouting"] == pytest.approx(0.1, abs=0.02)
 
 
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
-
+def estimated_by_hand(patterns, names, rounds):
+    """Expectation maximisation over {votes: n} in plain loops: shares of the bad ways, right_on_good, right_on_bad, posterior by votes."""
+    ways = sorted({quality_rules.WAYS[x] for x in names})
+    prior, (share, good, bad) = quality_rules.PRIOR_VOTES, quality_rules.START
+    held = lambda x: min(max(x, quality_rules.RARE), quality_rules.SURE)
+    s, g, b = {w: share for w in ways}, [good] * len(names), [bad] * len(names)
+
+    def chances(votes):
+        odds = {}
+        for w in ways:
+            odds[w] = s[w] / (1 - sum(s.values()))
+            for j, name in enumerate(names):
+                if quality_rules.WAYS[name] == w and votes[j]:
+                    odds[w] *= b[j] / (1 - g[j]) if votes[j] == 2 else (1 - b[j]) / g[j]
+        return {w: o / (1 + sum(odds.values())) for w, o in odds.items()}
+
+    for _ in range(rounds):
+        p = {v: chances(v) for v in patterns}
+        total = sum(patterns.values())
+        s = {w: (sum(n * p[v][w] for v, n in patterns.items()) + share * prior) / (total + prior) for w in ways}
+        for j, name in enumerate(names):
+            w = quality_rules.WAYS[name]
+            count = lambda vote, of: sum(n * of(p[v][w]) for v, n in patterns.items() if v[j] == vote)  # noqa: B023, E731
+            for_good, against_good, against_bad, for_bad = count(1, lambda x: 1 - x), count(2, lambda x: 1 - x), count(2, lambda x: x), count(1, lambda x: x)
+            g[j], b[j] = held((for_good + good * prior) / (for_good + against_good + prior)), held((against_bad + bad * prior) / (for_bad + against_bad + prior))
+    return s, g, b, {v: 1 - sum(chances(v).values()) for v in patterns}
+
+
+def test_label_model_estimates_like_plain_loops_and_finds_bad_texts(spark):
+    rng = np.random.default_rng(11)
+    names = list(quality_rules.rules())
+    way = [quality_rules.WAYS[x] for x in names]
+    patterns, truth = collections.Counter(), collections.defaultdict(collections.Counter)
+    for _ in range(5000):
+        bad = rng.choice(["", "symbols", "repetition", "form"], p=[0.85, 0.08, 0.04, 0.03])
+        votes = tuple(int(v) for v in (0 if rng.random() < 0.1 else 2 - (rng.random() < 0.15) if way[j] == bad else 1 + (rng.random() < 0.03) for j in range(len(names))))
+        patterns[votes] += 1
+        truth[votes][bad] += 1
+    code = lambda votes: sum(v * 3**j for j, v in enumerate(votes))
+    model = quality_rules.fit(spark.createDataFrame([(code(v), n) for v, n in patterns.items()], "pattern int, n long"), names, 8)
+    s, g, b, posterior = estimated_by_hand(patterns, names, 8)
+    assert model.shares == pytest.approx(s, abs=1e-9) and model.right_on_good == pytest.approx(g, abs=1e-9) and model.right_on_bad == pytest.approx(b, abs=1e-9)
+    rows = spark.createDataFrame([(code(v),) for v in patterns], "pattern int").select("pattern", model.posterior(F.col("pattern")).alias("good")).collect()
+    assert {r.pattern: r.good for r in rows} == pytest.approx({code(v): x for v, x in posterior.items()}, abs=1e-9)
+    wrong = sum(n for v, x in posterior.items() for bad, n in truth[v].items() if (x >= 0.5) != (bad == ""))
+    assert wrong < 0.05 * 5000
+    # what the simulation made is what is estimated, no bound decides
+    assert [round(x, 1) for x in g] == [1.0] * len(names) and all(quality_rules.RARE < x < quality_rules.SURE for x in [*g, *b])
 
 def spans_of(t):
     out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
