@@ -81,6 +81,11 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
+def _times(text: Column, char: str) -> Column:
+    """How often an ASCII character occurs in a text."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the counts that the rules read, for each row of docs; every other column of docs is passed on.
 
@@ -92,8 +97,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     text = docs.select(*own, whole_text().alias("_text"))
     # each step below is used more than once by the next, so it is computed once
     words = text.select("*", F.filter(F.split("_text", SPACE), lambda w: w != "").alias("_words"), F.length("_text").alias("_n"))
-    lines = F.filter(F.split("_text", "\n", -1), lambda x: F.translate(x, BLANKS, "") != "")
-    sized = words.select("*", F.size("_words").alias("_size"), lines.alias("_lines"), _without(F.col("_text"), BLANKS).alias("_chars"))
+    lines = F.filter(F.split("_text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+    sized = words.select("*", F.size("_words").alias("_size"), lines.alias("_lines"), _without(F.col("_text"), BLANKS).alias("_chars"), F.array(*[_times(F.col("_text"), c) for c in SYMBOLS]).alias("_symbols"))
     places = F.when(F.col("_size") > 2, F.sequence(F.lit(0), F.col("_size") - 3)).otherwise(F.array().cast("array<int>"))
     hashed = sized.select("*", F.transform(places, lambda i: F.xxhash64(F.col("_words")[i], F.col("_words")[i + 1], F.col("_words")[i + 2])).alias("_hashes"))
     # only texts in which some window may repeat are sorted; words themselves are compared there
@@ -107,15 +112,15 @@ def statistics(docs: DataFrame) -> DataFrame:
         *own,
         F.col("_size").cast("long").alias("n_words"),
         F.col("_chars").cast("long").alias("word_chars"),
-        (F.col("_n") - _without(F.col("_text"), SYMBOLS)).cast("long").alias("n_symbols"),
+        F.aggregate("_symbols", F.lit(0), lambda a, x: a + x).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.greatest(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.col("_n") - _without(F.col("_text"), UPPER)).cast("long").alias("n_upper"),
-        (F.col("_n") - _without(F.col("_text"), "!")).cast("long").alias("n_marks"),
+        _times(F.col("_text"), "!").cast("long").alias("n_marks"),
         (F.col("_n") - _without(F.col("_text"), ".?。")).cast("long").alias("n_stops"),
         (F.col("_n") - _without(F.col("_text"), PUNCTUATION)).cast("long").alias("n_punctuation"),
-        sum((F.contains("_text", F.lit(c)).cast("long") for c in SYMBOLS), F.lit(0).cast("long")).alias("n_kinds"),
+        F.size(F.filter("_symbols", lambda x: x > 0)).cast("long").alias("n_kinds"),
     )
 
 
