@@ -18,9 +18,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,6 @@ K = 7
 WINDOW = SPAN - K + 1
 #: Bytes of benchmark text in one broadcast block. An item longer than that is a block by itself.
 BLOCK_BYTES = 16_000_000
-#: Words whose hash a worker keeps. More are hashed anew: speed alone depends on it.
-KEPT = 1_000_000
 #: Word characters: ASCII digits and letters (lowered) and all beyond ASCII.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -42,23 +42,11 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
-class Hashes(dict):
-    """64-bit hashes of words, kept up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        found = xxhash.xxh64_intdigest(word, 7)
-        if len(self) < KEPT:
-            self[word] = found
-        return found
-
-
-_HASHES = Hashes()
-
-
 def word_hashes(found: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+    """64-bit hashes of words; each distinct word is hashed once, and nothing is kept."""
+    known: dict[bytes, int] = defaultdict(count().__next__)
+    places = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+    return np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in known), np.uint64, len(known))[places]
 
 
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -36,7 +36,7 @@ UNIGRAM = 1
 #: What an unknown character costs beyond the least piece (a fixed value of the library).
 UNKNOWN_COST = 10.0
 #: Words whose pieces a worker keeps. More are segmented anew: speed alone depends on it.
-KEPT = 500_000
+KEPT = 300_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
