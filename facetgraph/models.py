@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions import boxes, vector
+
 DIM = 512
 
 
@@ -78,9 +80,53 @@ def gazetteer(people: dict[str, str]) -> Callable[[list], list]:
     return tag
 
 
+#: What a detector says of a picture: the scale of its input against the picture, and its anchors, with scores, centres
+#: and strides in the input's pixels, distances to the sides and offsets to key points in strides.
+ANCHORS = "struct<scale:double,anchors:array<struct<score:double,cx:double,cy:double,stride:double,deltas:array<double>,offsets:array<double>>>>"
+
+
 def detect_faces(pictures: DataFrame, load: Callable[[], Callable[[list], list]], overlap: float = 0.4, least: float = 0.5) -> DataFrame:
-    """path and faces of pictures (path, content), overlapping ones suppressed."""
-    from .functions.boxes import suppressed
+    """file_id, content, place, conf, x, y, w, h, points of the faces in pictures (file_id, content).
+
+    The model gives anchors (ANCHORS); scores that aren't between 0 and 1 are logits, as all of the picture's then are. Boxes and
+    key points are decoded to the picture's own pixels and overlapping boxes suppressed.
+    place numbers a picture's faces by falling confidence. A picture that can't be read has none.
+    """
+    found = apply_model(pictures.select("file_id", "content"), load, "content", "_raw", ANCHORS)
+    scores = vector.logits_to_scores(F.transform("_raw.anchors", lambda a: a["score"]))
+    scored = found.select("file_id", "content", "_raw", scores.alias("_scores"))
+
+    def face(a: Column, i: Column) -> Column:
+        box = boxes.anchor_box(a["cx"], a["cy"], a["deltas"], a["stride"], F.col("_raw.scale"))
+        return F.struct(F.col("_scores")[i].alias("conf"), i.alias("i"), *[box[c].alias(c) for c in "xywh"])
+
+    good = F.filter(F.transform("_raw.anchors", face), lambda b: b["conf"] > least)
+    kept = scored.select("file_id", "content", "_raw", F.posexplode(boxes.suppressed(good, overlap)).alias("place", "_box"))
+    anchor = F.col("_raw.anchors")[F.col("_box.i")]
+    points = boxes.anchor_points(anchor["cx"], anchor["cy"], anchor["offsets"], anchor["stride"], F.col("_raw.scale"))
+    flat = F.flatten(F.transform(points, lambda p: F.array(p["x"], p["y"])))
+    return kept.select("file_id", "content", "place", *[F.col(f"_box.{c}").alias(c) for c in ("conf", "x", "y", "w", "h")], flat.alias("points"))
+
+
+def embed_faces(faces: DataFrame, decode: Callable, encode: Callable, load: Callable[[], Callable[[list], list]], size: int = 112) -> DataFrame:
+    """file_id, place, conf, x, y, w, h, crop_path, crop, embedding of faces (detect_faces).
+
+    Faces are turned upright, cut out, encoded, and embedded from the crop. One that can't be cut
+    out has an empty crop_path and no embedding.
+    """
+    from .functions.pixels import crops
+
+    cut = crops(faces, decode, encode, size)
+    known = apply_model(cut, load, "crop", "embedding", "array<float>")
+    plain = faces.select("file_id", "place", "conf", "x", "y", "w", "h")
+    return plain.join(known, ["file_id", "place"]).select("file_id", "place", "conf", "x", "y", "w", "h", F.col("name").alias("crop_path"), "crop", F.when(F.col("crop").isNotNull(), F.col("embedding")).alias("embedding"))
+
+
+def tokenized(texts: DataFrame, load: Callable[[], Callable[[str], list[int]]], column: str = "text", out: str = "ids") -> DataFrame:
+    """texts with the ids that a tokenizer gives, null for null (F22, F23): load() makes it once in each worker."""
+
+    def make() -> Callable[[list], list]:
+        one = load()
+        return lambda values: [None if v is None else one(v) for v in values]
 
-    found = apply_model(pictures.select("path", "content"), load, "content", "boxes", "array<struct<conf:double,i:int,x:double,y:double,w:double,h:double>>")
-    return found.select("path", suppressed(F.filter(F.coalesce("boxes", F.array().cast("array<struct<conf:double,i:int,x:double,y:double,w:double,h:double>>")), lambda b: b["conf"] > least), overlap).alias("faces"))
+    return apply_model(texts, make, column, out, "array<int>")

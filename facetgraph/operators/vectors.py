@@ -18,8 +18,12 @@ from ..functions import vector
 
 #: Query vectors that one broadcast block holds; more are searched block by block.
 QUERY_BLOCK = 4096
+#: Blocks of centroids that a task holds at once; more are searched in a further pass over the rows.
+HELD_BLOCKS = 16
 #: Rows of a block of a similarity join, about.
 BLOCK_ROWS = 8192
+#: Pivots of a similarity join at most.
+PIVOTS = 4096
 #: Bound of the rounding errors of rough squared distances, as a share of both vectors' squares.
 ROUNDING = 1e-10
 
@@ -89,24 +93,57 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, within: float | Non
     return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).select(F.col("q").alias(query_key), F.col("v").alias(key), "distance")
 
 
-def similar_pairs(vectors: DataFrame, within: float, key: str = "vec_id", blocks: int | None = None) -> DataFrame:
+def _rows_of(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a column's vectors of a dimension, and these as a matrix."""
+    lists = column.to_pylist()
+    keep = [i for i, e in enumerate(lists) if e is not None and len(e) == size]
+    return np.array(keep, np.int64), np.array([lists[i] for i in keep], np.float64).reshape(len(keep), size)
+
+
+def similar_pairs(vectors: DataFrame, within: float, key: str = "vec_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """a < b and distance of all pairs at most within apart.
 
-    Rows are hashed to blocks of about BLOCK_ROWS, and each pair of blocks is a task
-    that emits what is near: no task holds more than two blocks, however many rows
-    there are.
+    Rows belong to the nearest of a bounded number of pivots. By the triangle inequality
+    a row with a partner at another pivot is at most 2 * within farther from that pivot
+    than from its own; so it visits, of the pivots before its own, only those, and every
+    pair meets once. A pivot's rows are dealt to chunks of about block_rows, and each pair
+    of chunks is a task: none holds more, however many rows are alike. Null vectors have no partners;
+    vectors of another dimension than most aren't compared.
     """
-    n = blocks or max(2, -(-vectors.count() // BLOCK_ROWS))
-    own = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    dealt = vectors.select(F.col(key).cast("long").alias("id"), "embedding", own.alias("block"))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.least(F.col("block"), j) * n + F.greatest(F.col("block"), j))
-    rows = dealt.withColumn("pair", F.explode(pairs))
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(key).cast("long").alias("id"), "embedding").filter(F.col("embedding").isNotNull())
+    dims = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    if not dims:
+        return spark.createDataFrame([], "a long, b long, distance double")
+    size, n = dims[0]["d"], dims[0]["n"]
+    rows = rows.filter(F.size("embedding") == size)
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, 1 + n // block_rows)).select("embedding").collect()  # at most PIVOTS
+    pivots = spark.sparkContext.broadcast(np.unique(np.array([r["embedding"] for r in chosen], np.float64), axis=0))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = pivots.value
+        for batch in batches:
+            x = _rows_of(batch.column(1), size)[1]
+            for at in range(0, len(x), 512):
+                some = x[at : at + 512]
+                far = np.sqrt(np.maximum((some**2).sum(axis=1)[:, None] - 2 * some @ p.T + (p**2).sum(axis=1)[None, :], 0))
+                own = far.argmin(axis=1)
+                slack = 2 * within + 1e-6 * (1 + far.max(axis=1))
+                who, cell = np.nonzero((far <= (far[np.arange(len(own)), own] + slack)[:, None]) & (np.arange(len(p))[None, :] <= own[:, None]))
+                place = pa.array(at + who)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), pa.array(cell.astype(np.int32)), pa.array(cell == own[who])], ["id", "embedding", "cell", "home"])
+
+    met = rows.mapInArrow(visit, f"id long, embedding {dict(rows.dtypes)['embedding']}, cell int, home boolean")
+    cells = met.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("k"))  # at most PIVOTS rows
+    own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(F.col("chunk"), j) * F.col("k") + F.greatest(F.col("chunk"), j))
+    dealt = met.join(F.broadcast(cells), "cell").withColumn("chunk", own).withColumn("pair", F.explode(pairs))
 
     def run(table: pa.Table) -> pa.Table:
-        ids = np.array(table.column("id"))
+        ids, home = np.array(table.column("id")), np.array(table.column("home"))
         x = np.array(table.column("embedding").to_pylist(), np.float64)
-        block, pair = np.array(table.column("block")), table.column("pair")[0].as_py()
-        lo, hi = np.flatnonzero(block == pair // n), np.flatnonzero(block == pair % n)
+        chunk, pair, k = np.array(table.column("chunk")), table.column("pair")[0].as_py(), table.column("k")[0].as_py()
+        lo, hi = np.flatnonzero(chunk == pair // k), np.flatnonzero(chunk == pair % k)
         a, b, d = [], [], []
         for at in range(0, len(lo), 512):
             some = lo[at : at + 512]
@@ -114,14 +151,14 @@ def similar_pairs(vectors: DataFrame, within: float, key: str = "vec_id", blocks
             i, j = np.nonzero(rough <= within * within + 1e-6)
             left, right = some[i], hi[j]
             exact = np.sqrt(((x[left] - x[right]) ** 2).sum(axis=1))
-            keep = (exact <= within) & ((ids[left] < ids[right]) if pair // n == pair % n else (ids[left] != ids[right]))
+            keep = (exact <= within) & (home[left] | home[right]) & ((ids[left] < ids[right]) if pair // k == pair % k else (ids[left] != ids[right]))
             a.append(np.minimum(ids[left], ids[right])[keep])
             b.append(np.maximum(ids[left], ids[right])[keep])
             d.append(exact[keep])
         join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
         return pa.table({"a": join(a, np.int64), "b": join(b, np.int64), "distance": join(d, np.float64)})
 
-    return rows.groupBy("pair").applyInArrow(run, "a long, b long, distance double")
+    return dealt.groupBy("cell", "pair").applyInArrow(run, "a long, b long, distance double")
 
 
 def mean_vectors(vectors: DataFrame, group: str, weight: Column | None = None) -> DataFrame:
@@ -133,93 +170,212 @@ def mean_vectors(vectors: DataFrame, group: str, weight: Column | None = None) -
     return whole.select(group, vector.unit(F.col("embedding")).alias("embedding"))
 
 
-def assign_to_centroids(faces: DataFrame, centroids: DataFrame, within: float = 0.75, key: str = "vec_id") -> DataFrame:
-    """key, entity_id, distance of the faces whose nearest centroid, left as it is, lies within reach."""
-    found = knn_join(centroids.select("entity_id", "embedding"), faces.select(F.col(key).alias("query_id"), "embedding"), 1, within, key="entity_id")
-    return found.select(F.col("query_id").alias(key), "entity_id", "distance")
+def assign_to_centroids(faces: DataFrame, centroids: DataFrame, within: float | None = 0.75, key: str = "vec_id") -> DataFrame:
+    """key, entity_id, distance of the faces whose nearest centroid, left as it is, lies within reach.
 
+    Blocks of centroids are broadcast and each face keeps its best in its own task:
+    faces are neither shuffled nor collected. HELD_BLOCKS blocks are searched in one
+    pass over the faces; a larger set takes further passes, which hand the best on. Of
+    equally near centroids the least id is taken. Null vectors, and those of another dimension, have none.
+    """
+    spark = faces.sparkSession
+    best = faces.select(F.col(key).cast("long").alias(key), "embedding", F.lit(None).cast("long").alias("entity_id"), F.lit(None).cast("double").alias("distance"))
+    kind = dict(best.dtypes)["embedding"]
+    held: list = []
 
-def lead(rows: list[tuple], near: float = 0.6, blurry: float = 0.75, sharp: float = 0.5, alpha: float = 0.1) -> list[tuple]:
-    """Online leader clustering of (id, vector, score) in order: (id, entity or None, distance or None).
+    def searched(rows: DataFrame, blocks: list) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                entity = batch.column(2).to_pylist()
+                distance = np.array([np.inf if d is None else d for d in batch.column(3).to_pylist()])
+                for block in blocks:
+                    ids, c = block.value
+                    places, x = _rows_of(batch.column(1), c.shape[1])
+                    squares = (c**2).sum(axis=1)
+                    for at in range(0, len(x), 256):
+                        some = x[at : at + 256]
+                        length = (some**2).sum(axis=1)
+                        rough = length[:, None] - 2 * some @ c.T + squares[None, :]
+                        # all centroids up to the least rough distance, and what rounding may have put beyond it
+                        margin = ROUNDING * (length + squares.max())
+                        of, near = np.nonzero(~(rough > (rough.min(axis=1) + margin)[:, None]))
+                        step = max(1, (1 << 22) // c.shape[1])
+                        exact = np.concatenate([np.sqrt(((some[of[i : i + step]] - c[near[i : i + step]]) ** 2).sum(axis=1)) for i in range(0, len(of), step)])
+                        order = np.lexsort((ids[near], exact, of))
+                        first = order[np.searchsorted(of[order], np.arange(len(some)))]
+                        for i, e, d in zip(places[at : at + 256].tolist(), ids[near[first]].tolist(), exact[first].tolist(), strict=True):
+                            if entity[i] is None or (d, e) < (distance[i], entity[i]):
+                                entity[i], distance[i] = e, d
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(entity, pa.int64()), pa.array(distance, mask=np.isinf(distance))], [key, "embedding", "entity_id", "distance"])
+
+        return rows.mapInArrow(run, f"{key} long, embedding {kind}, entity_id long, distance double")
+
+    for block in _blocks(centroids.filter(F.col("embedding").isNotNull()), "entity_id"):
+        held.append(spark.sparkContext.broadcast(block))
+        if len(held) == HELD_BLOCKS:
+            best, held = searched(best, held), []
+    if held:
+        best = searched(best, held)
+    found = best.filter(F.col("entity_id").isNotNull()).select(key, "entity_id", "distance")
+    return found if within is None else found.filter(F.col("distance") <= within)
+
+
+class Centroids:
+    """Vectors by entity, in the order in which they came."""
+
+    def __init__(self, start: list[tuple[int, list[float]]]):
+        self.ids = [i for i, _ in start]
+        self.rows = np.array([v for _, v in start], np.float64) if start else np.empty((0, 0))
+        self.next = max(self.ids, default=0) + 1
+
+    def nearest(self, v: np.ndarray) -> tuple[int, float]:
+        """Place and distance of the nearest centroid, -1 where there is none."""
+        if not self.ids:
+            return -1, np.inf
+        d = np.sqrt(((self.rows[: len(self.ids)] - v) ** 2).sum(axis=1))
+        return int(d.argmin()), float(d.min())
+
+    def move(self, place: int, v: np.ndarray, alpha: float) -> None:
+        moved = (1 - alpha) * self.rows[place] + alpha * v
+        length = np.sqrt((moved**2).sum())
+        self.rows[place] = moved / length if length > 0 else moved
+
+    def open(self, v: np.ndarray) -> int:
+        n = len(self.ids)
+        if n == len(self.rows):
+            grown = np.empty((max(16, 2 * n), len(v)))
+            grown[:n] = self.rows.reshape(n, len(v))
+            self.rows = grown
+        self.rows[n] = v
+        self.ids.append(self.next)
+        self.next += 1
+        return self.ids[-1]
+
+
+def lead(rows: list[tuple], start: list[tuple] = (), near: float = 0.6, blurry: float = 0.75, sharp: float = 0.5, alpha: float = 0.1, first: int = 1) -> tuple[list[tuple], list[tuple]]:
+    """Online leader clustering of (id, vector, score) in order: [(id, entity or None, distance or None)] and the centroids after it.
 
     A face joins its nearest centroid if that is near enough (blurry faces, of a score
     below sharp, may be farther away), and draws the centroid along; else it opens an
-    entity, unless it is blurry.
+    entity, unless it is blurry. start: (entity, vector) known before; new entities get
+    the numbers after them, from first on. Null vectors and those of another dimension stay without entity.
     """
-    centroids = np.empty((0, len(rows[0][1]) if rows else 0))
+    size = len(start[0][1]) if start else next((len(v) for _, v, _ in rows if v is not None), 0)
+    known = Centroids([s for s in start if s[1] is not None and len(s[1]) == size])
+    known.next = max(known.next, first)
     out = []
     for i, v, score in rows:
+        if v is None or len(v) != size:
+            out.append((i, None, None))
+            continue
         v = np.asarray(v, np.float64)
-        limit = blurry if score < sharp else near
-        d = np.sqrt(((centroids - v) ** 2).sum(axis=1)) if len(centroids) else np.empty(0)
-        if len(d) and d.min() <= limit:
-            e = int(d.argmin())
-            moved = (1 - alpha) * centroids[e] + alpha * v
-            length = np.sqrt((moved**2).sum())
-            centroids[e] = moved / length if length > 0 else moved
-            out.append((i, e + 1, float(d[e])))
+        place, distance = known.nearest(v)
+        if distance <= (blurry if score < sharp else near):
+            known.move(place, v, alpha)
+            out.append((i, known.ids[place], distance))
         elif score < sharp:
             out.append((i, None, None))
         else:
-            centroids = np.vstack([centroids, v])
-            out.append((i, len(centroids), 0.0))
-    return out
+            out.append((i, known.open(v), 0.0))
+    return out, [(e, known.rows[k].tolist()) for k, e in enumerate(known.ids)]
 
 
-def cluster_online(faces: DataFrame, key: str = "vec_id", order: str | None = None, scope: str | None = None, near: float = 0.6, blurry: float = 0.75) -> DataFrame:
-    """key, entity_id, distance by leader clustering in the order of a column.
+def cluster_step(faces: DataFrame, centroids: DataFrame | None = None, key: str = "vec_id", order: str | None = None, scope: str | None = None, near: float = 0.6, blurry: float = 0.75, first: int = 1) -> DataFrame:
+    """scope, key, entity_id, distance of faces by leader clustering in the order of a column, and rows of a null key with the embedding of each centroid after it.
 
-    Each value of scope (an owner, a library) is a sequence of its own, and sequences
-    run beside each other; without scope the whole table is one sequence, which is
-    what its semantics ask for.
+    centroids (entity_id, embedding and scope): those of earlier steps; without them
+    clustering starts anew. Each value of scope (an owner, a library) is a sequence of
+    its own with its own numbers, and sequences run beside each other; without scope the
+    whole table is one sequence, which is what its semantics ask for.
     """
-    scoped = faces.withColumn("_scope", F.lit(0).cast("long") if scope is None else F.col(scope).cast("long"))
-    by = order or key
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["_order"], r["_key"]))
-        found = lead([(r["_key"], r["embedding"], r["score"]) for r in rows], near, blurry)
-        scopes = [rows[0]["_scope"]] * len(found)
-        return pa.table({"scope": pa.array(scopes, pa.int64()), key: pa.array([f[0] for f in found], pa.int64()), "entity_id": pa.array([f[1] for f in found], pa.int64()), "distance": pa.array([f[2] for f in found], pa.float64())})
-
+    spark = faces.sparkSession
+    of = F.lit(0).cast("long") if scope is None else F.col(scope).cast("long")
     score = F.col("score").cast("double") if "score" in faces.columns else F.lit(1.0)
-    rows = scoped.select("_scope", F.col(key).cast("long").alias("_key"), F.col(by).cast("long").alias("_order"), score.alias("score"), "embedding")
-    return rows.groupBy("_scope").applyInArrow(run, f"scope long, {key} long, entity_id long, distance double")
+    rows = faces.select(of.alias("_scope"), F.col(key).cast("long").alias("_key"), F.col(order or key).cast("long").alias("_order"), score.alias("score"), "embedding")
+    if centroids is None:
+        known = spark.createDataFrame([], "_scope long, entity_id long, embedding array<float>")
+    else:
+        known = centroids.select(of.alias("_scope"), F.col("entity_id").cast("long").alias("entity_id"), "embedding")
+
+    def run(table: pa.Table, before: pa.Table) -> pa.Table:
+        start = sorted((r["entity_id"], r["embedding"]) for r in before.to_pylist() if r["embedding"] is not None)
+        ordered = sorted(table.to_pylist(), key=lambda r: (r["_order"] is not None, r["_order"] or 0, r["_key"] is not None, r["_key"] or 0))
+        own = (table if table.num_rows else before).column("_scope")[0].as_py()
+        found, after = lead([(r["_key"], r["embedding"], 1.0 if r["score"] is None else r["score"]) for r in ordered], start, near, blurry, first=first)
+        # floats of 32 bits are what tables of vectors hold
+        return pa.table({
+            "scope": pa.array([own] * (len(found) + len(after)), pa.int64()),
+            key: pa.array([f[0] for f in found] + [None] * len(after), pa.int64()),
+            "entity_id": pa.array([f[1] for f in found] + [a[0] for a in after], pa.int64()),
+            "distance": pa.array([f[2] for f in found] + [None] * len(after), pa.float64()),
+            "embedding": pa.array([None] * len(found) + [a[1] for a in after], pa.list_(pa.float32())),
+        })
+
+    return rows.groupBy("_scope").cogroup(known.groupBy("_scope")).applyInArrow(run, f"scope long, {key} long, entity_id long, distance double, embedding array<float>")
+
+
+def cluster_online(faces: DataFrame, key: str = "vec_id", order: str | None = None, scope: str | None = None, near: float = 0.6, blurry: float = 0.75, centroids: DataFrame | None = None) -> DataFrame:
+    """scope, key, entity_id, distance of the faces of cluster_step."""
+    return cluster_step(faces, centroids, key, order, scope, near, blurry).filter(F.col("embedding").isNull()).drop("embedding")
 
 
 def absorb(rows: list[tuple], within: float = 1.0) -> list[tuple]:
-    """Greedy merging of (id, vector, weight): (merged id, keeper id), heavier entities first.
+    """(merged id, keeper id) of absorbed()."""
+    return absorbed(rows, within)[0]
+
+
+def absorbed(rows: list[tuple], within: float = 1.0) -> tuple[list[tuple], list[tuple]]:
+    """Greedy merging of (id, vector, weight): [(merged id, keeper id)] and what is left, (id, vector, weight), heavier entities first.
 
     A keeper takes the weighted mean of both at once, so what it absorbs next may differ.
+    Null vectors, and those of another dimension, aren't merged.
     """
     rows = sorted(rows, key=lambda r: (-r[2], r[0]))
-    ids = [r[0] for r in rows]
-    x = np.array([r[1] for r in rows], np.float64)
-    w = np.array([max(r[2], 1) for r in rows], np.float64)
-    gone, out = np.zeros(len(rows), bool), []
-    for i in range(len(rows)):
-        if gone[i]:
-            continue
-        for j in range(i + 1, len(rows)):
-            if not gone[j] and np.sqrt(((x[i] - x[j]) ** 2).sum()) <= within:
-                gone[j] = True
-                out.append((ids[j], ids[i]))
-                mean = (x[i] * w[i] + x[j] * w[j]) / (w[i] + w[j])
-                length = np.sqrt((mean**2).sum())
-                x[i] = mean / length if length > 0 else mean
-                w[i] += w[j]
-    return out
-
-
-def merge_entities(centroids: DataFrame, within: float = 1.0, scope: str | None = None) -> DataFrame:
-    """merged_id, keeper_id over centroids (entity_id, embedding, sample_count), greedily by sample_count."""
+    out, left = [], []
+    for size in sorted({len(r[1]) for r in rows if r[1] is not None}):
+        own = [r for r in rows if r[1] is not None and len(r[1]) == size]
+        ids = [r[0] for r in own]
+        x = np.array([r[1] for r in own], np.float64)
+        w = np.array([max(r[2], 1) for r in own], np.float64)
+        gone = np.zeros(len(own), bool)
+        for i in range(len(own)):
+            if gone[i]:
+                continue
+            for j in range(i + 1, len(own)):
+                if not gone[j] and np.sqrt(((x[i] - x[j]) ** 2).sum()) <= within:
+                    gone[j] = True
+                    out.append((ids[j], ids[i]))
+                    mean = (x[i] * w[i] + x[j] * w[j]) / (w[i] + w[j])
+                    length = np.sqrt((mean**2).sum())
+                    x[i] = mean / length if length > 0 else mean
+                    w[i] += w[j]
+            left.append((ids[i], x[i].tolist(), int(w[i])))
+    return out, left
+
+
+def merge_step(centroids: DataFrame, within: float = 1.0, scope: str | None = None) -> DataFrame:
+    """entity_id, keeper_id, embedding, sample_count over centroids (entity_id, embedding, sample_count), greedily by sample_count.
+
+    A merged entity has its keeper; one that is left has none, and its centroid and weight with all that it absorbed.
+    """
     scoped = centroids.withColumn("_scope", F.lit(0).cast("long") if scope is None else F.col(scope).cast("long"))
 
     def run(table: pa.Table) -> pa.Table:
-        found = absorb([(r["entity_id"], r["embedding"], r["sample_count"]) for r in table.to_pylist()], within)
-        return pa.table({"merged_id": pa.array([a for a, _ in found], pa.int64()), "keeper_id": pa.array([b for _, b in found], pa.int64())})
+        found, left = absorbed([(r["entity_id"], r["embedding"], r["sample_count"] or 0) for r in table.to_pylist()], within)
+        return pa.table({
+            "entity_id": pa.array([a for a, _ in found] + [x[0] for x in left], pa.int64()),
+            "keeper_id": pa.array([b for _, b in found] + [None] * len(left), pa.int64()),
+            "embedding": pa.array([None] * len(found) + [x[1] for x in left], pa.list_(pa.float32())),
+            "sample_count": pa.array([None] * len(found) + [x[2] for x in left], pa.int64()),
+        })
+
+    rows = scoped.select("_scope", F.col("entity_id").cast("long"), "embedding", F.col("sample_count").cast("long"))
+    return rows.groupBy("_scope").applyInArrow(run, "entity_id long, keeper_id long, embedding array<float>, sample_count long")
 
-    return scoped.select("_scope", F.col("entity_id").cast("long"), "embedding", F.col("sample_count").cast("long")).groupBy("_scope").applyInArrow(run, "merged_id long, keeper_id long")
+
+def merge_entities(centroids: DataFrame, within: float = 1.0, scope: str | None = None) -> DataFrame:
+    """merged_id, keeper_id of merge_step."""
+    return merge_step(centroids, within, scope).filter(F.col("keeper_id").isNotNull()).select(F.col("entity_id").alias("merged_id"), "keeper_id")
 
 
 def remap(rows: DataFrame, merges: DataFrame, column: str = "entity_id") -> DataFrame:

@@ -7,9 +7,14 @@ see a whole table. Where there is no catalogue yet, reads return empty results.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import catalog, graph, stats, vectors
 from ..schemas import SCHEMAS, empty, ensure_columns
@@ -17,24 +22,35 @@ from ..sources import media
 from . import search as search_plan
 
 
+@dataclass(frozen=True)
+class Faces:
+    """The face models: a detector of anchors and an embedder of crops, each loaded once in a worker, and a picture codec."""
+
+    detector: Callable[[], Callable[[list], list]]
+    embedder: Callable[[], Callable[[list], list]]
+    decode: Callable[[bytes], np.ndarray]
+    encode: Callable[[np.ndarray], bytes]
+
+
 class Engine:
     def __init__(self, spark: SparkSession, path: str, embedder=None, tagger=None, options: search_plan.Options = search_plan.Options()):
         self.spark, self.path = spark, path.rstrip("/")
         self.embedder, self.tagger, self.options = embedder, tagger, options
-        self.owner = -1
+        self.owner, self.paused, self.state = -1, False, "idle"
 
     def _fs(self):
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm, at.getFileSystem(conf)
 
-    def _current(self, name: str) -> str | None:
-        """The snapshot that the newest pointer names."""
+    def _pointers(self, name: str) -> list[str]:
         jvm, fs = self._fs()
         folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_pointers")
-        if not fs.exists(folder):
-            return None
-        names = sorted(s.getPath().getName() for s in fs.listStatus(folder))
+        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def _current(self, name: str) -> str | None:
+        """The snapshot that the newest pointer names."""
+        names = [x for x in self._pointers(name) if "-" in x]
         return f"{self.path}/{name}/{names[-1].split('-', 1)[1]}" if names else None
 
     def table(self, name: str) -> DataFrame:
@@ -42,14 +58,32 @@ class Engine:
         return empty(self.spark, name) if at is None else ensure_columns(self.spark.read.parquet(at), name)
 
     def save(self, name: str, rows: DataFrame) -> None:
-        """A new snapshot; its pointer is made last."""
+        """A new snapshot; its pointer is made last.
+
+        The pointer's number is that after the newest one when saving begins, and is
+        claimed by a file that one writer alone can make: of two that began from the
+        same state, the second gets an error and nothing is lost unseen.
+        """
         jvm, fs = self._fs()
+        at = lambda x: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_pointers/{x}")
+        number = f"{1 + max((int(x.split('-')[0]) for x in self._pointers(name)), default=-1):012d}"
         snapshot = uuid.uuid4().hex
         ensure_columns(rows, name).write.parquet(f"{self.path}/{name}/{snapshot}")
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_pointers")
-        fs.mkdirs(folder)
-        number = len(list(fs.listStatus(folder)))
-        fs.create(jvm.org.apache.hadoop.fs.Path(folder, f"{number:012d}-{snapshot}")).close()
+        try:
+            fs.create(at(number), False).close()
+        except Py4JJavaError as e:
+            raise RuntimeError(f"{name} was changed meanwhile: read it again and repeat the change") from e
+        fs.create(at(f"{number}-{snapshot}"), False).close()
+
+    def _work(self, rows: DataFrame) -> DataFrame:
+        """rows, computed once and written beside the tables, so that what a model says is asked once."""
+        at = f"{self.path}/_work/{uuid.uuid4().hex}"
+        rows.write.parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
+    def _clear_work(self) -> None:
+        jvm, fs = self._fs()
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_work"), True)
 
     # reading and indexing files
 
@@ -62,46 +96,113 @@ class Engine:
     def get_stored_files(self, limit: int = 100) -> DataFrame:
         return stats.stored_files(self.table("files"), limit)
 
-    def generate_embeddings(self, now: int, column: str = "abs_path") -> None:
-        """Embed all pending pictures and mark them (a batch; streaming.indexing has the incremental form)."""
+    def generate_embeddings(self, now: int, column: str = "abs_path", files_per_batch: int | None = None, faces: Faces | None = None, pictures: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Embed all pending pictures and mark them, batch by batch until nothing is pending or the run is paused.
+
+        What fails in this run is marked failed and not tried again, whatever vectors an
+        older run left. With faces, each batch's pictures, read by pictures (id, abs_path to file_id, content),
+        are searched for faces too, which join the people known so far; a run that wasn't paused
+        then assigns what was left over and merges people that are close. (streaming.indexing is the form for files that keep coming.)
+        """
         from ..models import apply_model
 
-        pending = self.table("files").filter((F.col("filetype") == "picture") & (F.col("status") == "pending"))
-        done = apply_model(pending.select("id", F.col(column).alias("_in")), self.embedder, "_in", "embedding", "array<float>").select("id", "embedding")
-        good = done.filter(F.col("embedding").isNotNull())
-        self.save("clip_vec", catalog.upsert(self.table("clip_vec"), good.select(F.col("id").alias("file_id"), "embedding"), "file_id"))
-        files = self.table("files")
-        indexed = self.table("clip_vec").select(F.col("file_id").alias("id"))
-        tried = catalog.set_status(files, pending.select("id", F.lit("failed").alias("status")))
-        self.save("files", catalog.mark_indexed(tried, pending.select("id").join(indexed, "id", "left_semi"), now))
+        self.paused, self.state = False, "processing"
+        while True:
+            pending = self.table("files").filter((F.col("filetype") == "picture") & (F.col("status") == "pending"))
+            if files_per_batch is not None:
+                pending = pending.orderBy("id").limit(files_per_batch)
+            done = self._work(apply_model(pending.select("id", F.col("abs_path"), F.col(column).alias("_in")), self.embedder, "_in", "embedding", "array<float>").select("id", "abs_path", "embedding"))
+            if not done.limit(1).count():
+                break
+            good = done.filter(F.col("embedding").isNotNull())
+            self.save("clip_vec", catalog.upsert(self.table("clip_vec"), good.select(F.col("id").alias("file_id"), "embedding"), "file_id"))
+            tried = catalog.set_status(self.table("files"), done.filter(F.col("embedding").isNull()).select("id", F.lit("failed").alias("status")))
+            self.save("files", catalog.mark_indexed(tried, good.select("id"), now))
+            if faces is not None and pictures is not None:
+                self.add_faces(pictures(good.select("id", "abs_path")), faces, now)
+                self.cluster_faces(now, late=False, merge=None)
+            if self.paused:
+                self.state = "paused"
+                break
+        if not self.paused:
+            if faces is not None:
+                self.cluster_faces(now)
+            self.state = "finished"
+        self._clear_work()
+
+    def pause_embeddings(self) -> None:
+        """Ask a running generate_embeddings to stop after its batch; a later call goes on with what is pending."""
+        self.paused = True
 
     def get_index_progress(self) -> DataFrame:
-        return stats.progress(self.table("files"))
+        return stats.progress(self.table("files")).withColumn("status", F.lit(self.state))
 
     def get_database_stats(self) -> DataFrame:
         return stats.by_type(self.table("files"))
 
     # people
 
-    def cluster_faces(self, now: int, near: float = 0.6, loose: float = 0.75, merge: float = 1.0) -> None:
-        """Cluster all faces in order, assign what is left to the centroids, and merge what is close (T1, T2, T3); edges follow."""
-        found = self.table("face_detections")
-        faces = found.join(self.table("face_vec"), found["id"] == F.col("detection_id")).select("id", "file_id", "embedding", F.col("det_score").alias("score"))
-        led = vectors.cluster_online(faces, key="id", order="file_id", near=near, blurry=loose).select("id", F.col("entity_id").alias("e"))
-        grouped = faces.join(led.filter("e IS NOT NULL"), "id")
-        centroids = vectors.mean_vectors(grouped, "e").withColumnRenamed("e", "entity_id")
-        late = vectors.assign_to_centroids(faces.join(led.filter("e IS NULL"), "id", "left_semi"), centroids, loose, key="id").select("id", F.col("entity_id").alias("e"))
-        all_led = led.filter("e IS NOT NULL").unionByName(late)
-        weighed = centroids.join(all_led.groupBy(F.col("e").alias("entity_id")).agg(F.count("*").alias("sample_count")), "entity_id")
-        merges = vectors.merge_entities(weighed, merge)
-        final = vectors.remap(all_led.withColumnRenamed("e", "entity_id"), merges)
-        marked = found.drop("entity_id").join(final, "id", "left")
-        self.save("face_detections", marked)
-        entities = final.groupBy("entity_id").agg(F.count("*").cast("int").alias("sample_count")).select("entity_id", "sample_count", F.lit("").alias("display_name"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"))
-        self.save("entities", entities)
-        self.save("person_centroids", centroids.join(entities.select("entity_id"), "entity_id", "left_semi"))
+    def add_faces(self, pictures: DataFrame, faces: Faces, now: int) -> None:
+        """Find, cut out and embed the faces of pictures (file_id, content); crops, detections and vectors are appended (K6, K7, K9)."""
+        from ..models import detect_faces, embed_faces
+
+        found = self._work(embed_faces(detect_faces(pictures, faces.detector), faces.decode, faces.encode, faces.embedder))
+        folder = f"{self.path}/crops"
+        found.filter(F.col("crop").isNotNull()).select("file_id", "place", "crop_path", "crop").write.mode("append").parquet(folder)
+        old = self.table("face_detections")
+        all_rows = self._work(catalog.append_detections(old, found, now))
+        # detections of a file are numbered by falling confidence, as its faces' places are
+        fresh = all_rows.join(old.select("id"), "id", "left_anti")
+        order = Window.partitionBy("file_id")
+        ids = fresh.withColumn("place", (F.row_number().over(order.orderBy("id")) - 1)).select("id", "file_id", "place")
+        vecs = ids.join(found.select("file_id", F.row_number().over(order.orderBy(F.desc("conf"), "x", "y")).alias("nth"), "embedding").withColumn("place", F.col("nth") - 1).drop("nth"), ["file_id", "place"])
+        self.save("face_vec", self.table("face_vec").unionByName(vecs.filter(F.col("embedding").isNotNull()).select(F.col("id").alias("detection_id"), "embedding")))
+        self.save("face_detections", all_rows)
+
+    def cluster_faces(self, now: int, near: float = 0.6, loose: float = 0.75, merge: float | None = 1.0, late: bool = True, graph_too: bool = True) -> None:
+        """Cluster the faces that have no person yet, in the order of their files (T1); people known before stay as they are.
+
+        Clustering goes on from the stored centroids, which faces draw along; new people
+        get numbers above all known ones. With late, faces left over go to the nearest centroid,
+        which stays (T2); with merge, people whose centroids are as close are merged, and a keeper's centroid
+        and count take in what it absorbs (T3). Then the graph follows.
+        """
+        found, people = self.table("face_detections"), self.table("entities")
+        faces = found.filter(F.col("entity_id").isNull()).join(self.table("face_vec"), found["id"] == F.col("detection_id")).select("id", "file_id", "embedding", F.col("det_score").alias("score"))
+        first = 1 + (people.agg(F.max("entity_id").alias("m")).first()["m"] or 0)
+        step = self._work(vectors.cluster_step(faces, self.table("person_centroids"), "id", "file_id", near=near, blurry=loose, first=first))
+        led = step.filter(F.col("embedding").isNull()).select("id", "entity_id")
+        centroids = step.filter(F.col("embedding").isNotNull()).select("entity_id", "embedding")
+        # vectors of another dimension took no part and stay
+        centroids = centroids.unionByName(self.table("person_centroids").join(centroids, "entity_id", "left_anti").select("entity_id", "embedding"))
+        given = led.filter("entity_id IS NOT NULL")
+        if late:
+            left = faces.join(led.filter("entity_id IS NULL"), "id", "left_semi").select("id", "embedding")
+            given = given.unionByName(vectors.assign_to_centroids(left, centroids, loose, key="id").select("id", "entity_id"))
+        given = self._work(given)
+        counts = given.groupBy("entity_id").agg(F.count("*").alias("n"))
+        joined = people.join(counts, "entity_id", "full")
+        grown = joined.select("entity_id", *[c for c in people.columns if c not in ("entity_id", "sample_count", "created_at", "updated_at", "entity_type", "display_name", "confidence")],
+            F.coalesce("entity_type", F.lit("person")).alias("entity_type"), F.coalesce("display_name", F.lit("")).alias("display_name"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
+            (F.coalesce("sample_count", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("int").alias("sample_count"), F.coalesce("created_at", F.lit(now)).alias("created_at"), F.when(F.col("n").isNotNull(), F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"))
+        detections = found.join(given.withColumnRenamed("entity_id", "_new"), "id", "left").select(*[F.coalesce("entity_id", "_new").alias(c) if c == "entity_id" else F.col(c) for c in found.columns])
+        if merge is not None:
+            merged = self._work(vectors.merge_step(centroids.join(grown.select("entity_id", "sample_count"), "entity_id"), merge))
+            gone = merged.filter(F.col("keeper_id").isNotNull()).select(F.col("entity_id").alias("merged_id"), "keeper_id")
+            kept = merged.filter(F.col("keeper_id").isNull())
+            detections = vectors.remap(detections, gone)
+            keepers = kept.join(gone.select(F.col("keeper_id").alias("entity_id")).distinct(), "entity_id", "left_semi").select("entity_id", F.col("sample_count").alias("_all"))
+            grown = grown.join(gone, grown["entity_id"] == gone["merged_id"], "left_anti").join(keepers, "entity_id", "left")
+            grown = grown.withColumn("sample_count", F.coalesce("_all", "sample_count").cast("int")).withColumn("updated_at", F.when(F.col("_all").isNotNull(), F.lit(now)).otherwise(F.col("updated_at")))
+            lost = gone.select(F.col("merged_id").alias("entity_id"))
+            centroids = kept.select("entity_id", "embedding").unionByName(centroids.join(kept, "entity_id", "left_anti").join(lost, "entity_id", "left_anti").select("entity_id", "embedding"))
+        grown, centroids, detections = (self._work(x) for x in (grown, centroids, detections))
+        self.save("entities", grown)
+        self.save("person_centroids", centroids)
+        self.save("face_detections", detections)
         self.save("entity_memberships", graph.memberships(self.table("face_detections")).withColumn("score", F.lit(1.0)).withColumn("created_at", F.lit(now)))
-        self.update_graph()
+        if graph_too:
+            self.update_graph()
 
     def update_graph(self) -> None:
         found = self.table("face_detections")
@@ -110,9 +211,19 @@ class Engine:
         counts = graph.face_counts(self.table("files"), found).withColumnRenamed("face_count", "n")
         self.save("files", self.table("files").drop("face_count").join(counts, "id").withColumnRenamed("n", "face_count"))
 
-    def reset_face_data(self) -> None:
+    def reset_face_data(self, now: int = 0, faces: Faces | None = None, pictures: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Forget all people, faces and crops; with faces, look for them again in all indexed pictures and cluster them.
+
+        As in a first run faces are clustered and leftovers assigned; people aren't merged and the graph isn't made.
+        """
         for name, rows in catalog.reset_faces({n: self.table(n) for n in SCHEMAS}).items():
             self.save(name, rows)
+        jvm, fs = self._fs()
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/crops"), True)
+        if faces is not None and pictures is not None:
+            self.add_faces(pictures(stats.indexed_pictures(self.table("files")).select("id", "abs_path")), faces, now)
+            self.cluster_faces(now, merge=None, graph_too=False)
+        self._clear_work()
 
     def get_top_entities(self, limit: int = 50) -> DataFrame:
         return graph.top_entities(self.table("entities"), limit)

@@ -146,7 +146,7 @@ def test_knn_join_and_pairs(spark):
     for q in (3, 9):
         d = np.linalg.norm(x - x[q], axis=1)
         assert [r.vec_id for r in sorted(found, key=lambda r: (r.distance, r.vec_id)) if r.query_id == q] == np.lexsort((np.arange(80), d))[:5].tolist()
-    near = vectors.similar_pairs(table.filter("vec_id < 80"), 0.5, blocks=3).collect()
+    near = vectors.similar_pairs(table.filter("vec_id < 80"), 0.5, block_rows=20).collect()
     assert sorted((r.a, r.b) for r in near) == [(i, j) for i in range(80) for j in range(i + 1, 80) if np.linalg.norm(x[i] - x[j]) <= 0.5]
 
 
