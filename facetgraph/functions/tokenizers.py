@@ -6,6 +6,7 @@ import re
 
 #: Fixed ids of the image-text model's tokenizer.
 BEGIN, END, PAD, LENGTH = 49406, 49407, 0, 77
+#: What the same tokenizer takes for words (a fixed value).
 WORDS = re.compile(r"[a-z0-9]+|[^a-z0-9\s]+")
 
 

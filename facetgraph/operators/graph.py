@@ -67,7 +67,8 @@ def candidates(members: DataFrame, ids: list[int], pairs: DataFrame | None = Non
     found = members.filter(F.col("entity_id").isin(wanted)).groupBy("file_id").agg(F.count_distinct("entity_id").alias("n")).filter(F.col("n") == len(wanted)).select("file_id")
     if pairs is not None and len(wanted) == 2:
         known = pairs.filter((F.col("entity_a") == wanted[0]) & (F.col("entity_b") == wanted[1])).select("file_id").distinct()
-        return known if known.limit(1).count() else found
+        none = known.agg((F.count("*") == 0).alias("_none"))  # one row
+        return known.unionByName(found.crossJoin(F.broadcast(none)).filter("_none").select("file_id"))
     return found
 
 
@@ -110,7 +111,8 @@ def entity_files(members: DataFrame, files: DataFrame, entity_id: int, limit: in
 def people_cards(entities: DataFrame, detections: DataFrame, files: DataFrame, limit: int = 50) -> DataFrame:
     """The top entities with their best face, in one job."""
     top = top_entities(entities, limit)
-    return top.join(best_crops(detections, files), "entity_id", "left").select("entity_id", "display_name", "sample_count", F.col("abs_path").alias("crop_path"), F.col("id").alias("detection_id"))
+    own = detections.join(F.broadcast(top.select("entity_id")), "entity_id", "left_semi")  # limit rows
+    return top.join(best_crops(own, files), "entity_id", "left").select("entity_id", "display_name", "sample_count", F.col("abs_path").alias("crop_path"), F.col("id").alias("detection_id"))
 
 
 def face_counts(files: DataFrame, detections: DataFrame) -> DataFrame:

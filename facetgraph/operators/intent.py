@@ -51,7 +51,12 @@ EVENTS = {
     "vacation": "holiday trip",
     "trip": "holiday trip",
 }
-FILLERS = "show me pictures picture photos photo of and in at on the a an please find my some i want to see with images image give looking for".split()
+# Words of a query that name nobody and nothing (fixed values).
+FILLERS = (
+    "show", "me", "pictures", "picture", "photos", "photo", "of", "and", "in", "at", "on", "the", "a", "an", "please", "find", "my", "some", "i",
+    "want", "to", "see", "with", "images", "image", "give", "looking", "for",
+)
+# How queries start, longest forms first (fixed values).
 PREFIXES = (
     "show me pictures of ",
     "show me photos of ",

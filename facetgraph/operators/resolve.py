@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from . import intent
 
-# Words of a query that never name anybody (fixed values).
-FILLERS = (
-    "show me pictures picture photos photo of and in at on the a an please find my some i want to see "
-    "with images image give looking for pics pic"
-)
+# Words of a query that never name anybody: those of intents and two more (fixed values).
+FILLERS = (*intent.FILLERS, "pics", "pic")
 DISTANCE = 2
 
 
@@ -21,8 +19,10 @@ def resolve(spans: DataFrame, entities: DataFrame, distance: int = DISTANCE, emp
 
     Candidates come from an equi-join of shortened forms; two texts within distance
     share one. Ties go to the larger sample_count, then the lower id. Empty names
-    match short spans only where asked for.
+    match short spans only where asked for. Of entities with an entity_type, persons alone count (S8).
     """
+    if "entity_type" in entities.columns:
+        entities = entities.filter(F.col("entity_type") == "person")
     said = F.lower(text.strip_possessive(text.strip_my(F.lower("text"))))
     asked = spans.select("text").distinct().withColumn("said", said)
     names = entities.select("entity_id", "sample_count", F.explode(F.array(F.lower(F.coalesce("display_name", F.lit(""))), F.lower(F.coalesce("relation", F.lit(""))))).alias("name")).distinct()
@@ -38,10 +38,9 @@ def resolve(spans: DataFrame, entities: DataFrame, distance: int = DISTANCE, emp
 
 def resolve_words(queries: DataFrame, entities: DataFrame, column: str = "text") -> DataFrame:
     """query_id, word, entity_id for the words of queries that name somebody, fillers and short words aside."""
-    fillers = FILLERS.split()
     words = queries.select("query_id", F.explode(F.split(column, r"\s+")).alias("word"))
     bare = text.strip_possessive(F.lower("word"))
-    words = words.filter(~bare.isin(fillers) & (F.length(bare) > 2)).withColumnRenamed("word", "text")
+    words = words.filter(~bare.isin(list(FILLERS)) & (F.length(bare) > 2)).withColumnRenamed("word", "text")
     found = words.join(resolve(words, entities), "text").select("query_id", F.col("text").alias("word"), "entity_id")
     first = Window.partitionBy("query_id", "entity_id").orderBy("word")
     return found.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")

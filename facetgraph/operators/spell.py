@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from . import intent
 
-# Words that queries are about (fixed values).
-TERMS = (
-    "me myself self family group people father dad mother mom brother sister friend friends wife husband uncle aunt cousin "
-    "beach mountain mountains kedarnath temple office school home park restaurant "
-    "graduation birthday wedding diwali holi festival vacation trip"
-)
+# Words that queries are about: those that intents know, in their order.
+TERMS = (*intent.PEOPLE, *intent.PLACES, *intent.EVENTS)
 FREQUENCY = 1000
 ACCEPT = 0.75
 DISTANCE = 2
@@ -21,10 +18,12 @@ DISTANCE = 2
 
 def dictionary(spark: SparkSession, entities: DataFrame | None = None) -> DataFrame:
     """term, place, frequency: the fixed terms, then words of names and relations."""
-    fixed = spark.createDataFrame([(i, t) for i, t in enumerate(TERMS.split())], "place long, term string")
+    fixed = spark.createDataFrame([(i, t) for i, t in enumerate(TERMS)], "place long, term string")
     if entities is not None:
         said = F.concat_ws(" ", F.coalesce("display_name", F.lit("")), F.coalesce("relation", F.lit("")))
-        own = entities.select(F.explode(F.split(F.lower(said), " +")).alias("term")).filter("term != ''").distinct()
+        if "entity_type" in entities.columns:
+            entities = entities.filter(F.col("entity_type") == "person")
+        own = entities.select(F.explode(F.split(F.lower(said), r"\s+")).alias("term")).filter("term != ''").distinct()
         fixed = fixed.unionByName(own.join(fixed, "term", "left_anti").select(F.lit(1 << 30).cast("long").alias("place"), "term"))
     return fixed.withColumn("frequency", F.lit(FREQUENCY))
 

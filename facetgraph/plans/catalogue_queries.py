@@ -74,8 +74,7 @@ def centroid_mean_norm(spark, d):
 @query(CENTROIDS_SQL + f""" SELECT vec_id, entity_id, distance FROM (SELECT vec_id, CAST(label2 AS BIGINT) AS entity_id, distance,
 row_number() OVER (PARTITION BY vec_id ORDER BY distance, label2) AS n FROM (SELECT vec_id, c.label AS label2, {L2_SQL.format(a='embedding', b='c')} AS distance FROM embeddings, centroids c)) WHERE n = 1""")
 def knn_join_centroids(spark, d):
-    found = vectors.knn_join(_centroids(spark, d), read(spark, d, "embeddings").withColumnRenamed("vec_id", "query_id"), 1, key="entity_id")
-    return _six(found.select(F.col("query_id").alias("vec_id"), "entity_id", "distance"), "distance")
+    return _six(vectors.assign_to_centroids(read(spark, d, "embeddings"), _centroids(spark, d), None), "distance")
 
 
 @query(CENTROIDS_SQL + f""" SELECT vec_id, entity_id, distance FROM (SELECT vec_id, CAST(label2 AS BIGINT) AS entity_id, distance,
@@ -96,18 +95,6 @@ def vec_norm_argmax(spark, d):
     return read(spark, d, "embeddings").select("vec_id", F.round(vector.norm(F.col("embedding")), 6).alias("length"), vector.argmax(F.col("embedding")).alias("largest"))
 
 
-@query()
-def cluster_online(spark, d):
-    return _six(vectors.cluster_online(read(spark, d, "embeddings"), near=NEAR, blurry=NEAR), "distance")
-
-
-@query()
-def merge_entities(spark, d):
-    rows = read(spark, d, "embeddings")
-    weights = rows.select(F.col("vec_id").alias("entity_id"), "embedding", (F.col("vec_id") % 97).alias("sample_count"), "label")
-    return vectors.merge_entities(weights, 1.15, scope="label")
-
-
 @query(WITH + """ SELECT filetype, count(*) AS n, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes,
 round(sum(size_bytes) * 100.0 / (SELECT sum(size_bytes) FROM files), 4) AS share FROM files GROUP BY 1""")
 def files_stats_by_type(spark, d):
@@ -357,15 +344,10 @@ def _part_terms(spark, d):
     return words.select("term", F.lit(0).alias("place"), F.lit(spell.FREQUENCY).alias("frequency"))
 
 
-@query()
-def symspell_correct(spark, d):
-    return spell.corrections(_typos(spark, d), _part_terms(spark, d))
+_TERMS_SQL = ", ".join(f"'{t}'" for t in spell.TERMS)
 
 
-_TERMS_SQL = ", ".join(f"'{t}'" for t in spell.TERMS.split())
-
-
-@query(WITH + f""", fixed AS (SELECT CAST(unnest(range(0, {len(spell.TERMS.split())})) AS BIGINT) AS place, unnest([{_TERMS_SQL}]) AS term),
+@query(WITH + f""", fixed AS (SELECT CAST(unnest(range(0, {len(spell.TERMS)})) AS BIGINT) AS place, unnest([{_TERMS_SQL}]) AS term),
 own AS (SELECT DISTINCT unnest(string_split(lower(display_name || ' ' || coalesce(relation, '')), ' ')) AS term FROM entities)
 SELECT place, term, 1000 AS frequency FROM fixed
 UNION ALL SELECT CAST(1073741824 AS BIGINT), term, 1000 FROM own WHERE term <> '' AND term NOT IN (SELECT term FROM fixed)""")
@@ -373,14 +355,6 @@ def spell_dictionary(spark, d):
     return spell.dictionary(spark, proxies.entities(spark, d))
 
 
-@query()
-def resolve_entity(spark, d):
-    nations = read(spark, d, "nation")
-    people = nations.select(F.col("n_nationkey").cast("long").alias("entity_id"), F.col("n_name").alias("display_name"), F.lit("").alias("relation"), F.col("n_regionkey").cast("long").alias("sample_count"))
-    asked = nations.select(F.concat(F.substring("n_name", 2, 1), F.substring("n_name", 1, 1), F.expr("substring(n_name, 3)")).alias("text"))
-    return resolve.resolve(asked, people)
-
-
 @query("""SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'portrait of a woman' WHEN 1 THEN 'two people at a beach' WHEN 2 THEN 'birthday celebration in a park' WHEN 3 THEN 'portrait of a person at home' ELSE '' END AS intent FROM orders""")
 def intent_caption(spark, d):
     said = F.array(*map(F.lit, ["photos of mom", "mom and dad at the beach", "my birthday in the park", "show me home", "red car"]))

@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 from ..functions import text, vector
 from ..models import apply_model
 from ..operators import burst, intent, resolve, spans, spell, vectors
+from ..storage import stored
 
 Loader = Callable[[], Callable[[list], list]]
 
@@ -55,7 +56,7 @@ def understand(queries: DataFrame, entities: DataFrame, tagger: Loader | None, o
         read = spell.correct_queries(queries, spell.dictionary(spark, entities))
     else:
         read = queries.withColumn("corrected", F.coalesce("text", F.lit("")))
-    read = read.select("query_id", "owner_entity_id", "corrected")
+    read = stored(read.select("query_id", "owner_entity_id", "corrected"), "queries")
     spoken = spark.createDataFrame([], "query_id long, entity_id long, said string, loose string")
     if options.graph and tagger is not None:
         tagged = apply_model(read, tagger, "corrected", "labels", "array<string>")
@@ -64,13 +65,14 @@ def understand(queries: DataFrame, entities: DataFrame, tagger: Loader | None, o
         found = found.filter(F.col("label").isin("SELF", "PERSON", "RELATION"))
         named = found.join(resolve.resolve(found.filter("label <> 'SELF'"), entities, empty_names=options.empty_names).withColumnRenamed("entity_id", "near"), "text", "left")
         own = F.when(F.col("label") == "SELF", F.when(F.col("owner_entity_id") >= 0, F.col("owner_entity_id"))).otherwise(F.col("near"))
-        spoken = named.select("query_id", own.alias("entity_id"), F.when(own.isNotNull(), F.lower("text")).alias("said"), F.when(own.isNull(), F.col("text")).alias("loose"))
+        spoken = stored(named.select("query_id", own.alias("entity_id"), F.when(own.isNotNull(), F.lower("text")).alias("said"), F.when(own.isNull(), F.col("text")).alias("loose")), "named")
     if options.graph:
         silent = read.join(spoken.filter("entity_id IS NOT NULL").select("query_id").distinct(), "query_id", "left_anti")
         words = resolve.resolve_words(silent, entities, "corrected").select("query_id", "entity_id", F.lower(text.strip_possessive(F.lower("word"))).alias("said"), F.lit(None).cast("string").alias("loose"))
         spoken = spoken.unionByName(words)
     told = spoken.groupBy("query_id").agg(F.array_sort(F.collect_set("entity_id")).alias("ids"), F.collect_set("said").alias("said"), F.array_sort(F.collect_list("loose")).alias("loose"))
     strings = F.array().cast("array<string>")
+    told = stored(told, "told")
     whole = read.join(told, "query_id", "left").select("query_id", "corrected", F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"), F.coalesce("said", strings).alias("said"), F.coalesce("loose", strings).alias("loose"))
     words = F.filter(F.split("corrected", r"\s+"), lambda w: w != "")
     cleaned = whole.select("query_id", "corrected", "ids", resolve.caption(words, F.col("said"), F.col("loose")).alias("cleaned"))
@@ -112,12 +114,14 @@ RESULT = ["query_id", "rank", "file_id", "abs_path", "display_name", "size_bytes
 def search(queries: DataFrame, tables: Tables, embedder: Loader, tagger: Loader | None = None, options: Options = Options()) -> DataFrame:
     """Ranked files for each of queries (query_id, text, owner_entity_id); metric says what distance measures.
 
-    The embedder runs only on captions that are compared with vectors.
+    The embedder runs only on captions, once for each. What is understood of the queries is written
+    between the steps, as several of them read it: it has a row for each query.
     """
-    understood = understand(queries, tables.entities, tagger, options)
+    understood = stored(understand(queries, tables.entities, tagger, options), "understood")
     named = F.size("ids") > 0
     said = understood.filter(F.col("caption") != "")
     embedded = apply_model(said.select("query_id", "caption", named.alias("named")), embedder, "caption", "embedding", "array<float>").filter(F.col("embedding").isNotNull())
+    embedded = stored(embedded, "captions")
     found = common_files(understood, tables.members, tables.pair_files)
     near = found.join(embedded.filter("named").select("query_id", F.col("embedding").alias("q")), "query_id").join(tables.vectors, "file_id").filter(F.size("q") == F.size("embedding"))
     by_vector = near.select("query_id", "file_id", (1 - vector.dot(F.col("q"), F.col("embedding"))).alias("distance"), F.lit("cosine").alias("metric"))

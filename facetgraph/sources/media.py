@@ -9,22 +9,44 @@ from pyspark.sql import functions as F
 
 # Supported extensions and MIME types by category (fixed values).
 EXTENSIONS = {
-    "image": "jpg jpeg png webp bmp heic heif tiff tif dng arw cr2 cr3 nef raf orf rw2",
-    "video": "mp4 webm mov avi mkv prores r3d",
-    "document": "pdf docx txt md csv pptx xlsx xls odt ods rtf",
-    "audio": "mp3 flac wav aac m4a ogg alac",
+    "image": (
+        "jpg", "jpeg", "png", "webp", "bmp", "heic", "heif", "tiff", "tif", "dng", "arw", "cr2", "cr3", "nef", "raf", "orf", "rw2",
+    ),
+    "video": (
+        "mp4", "webm", "mov", "avi", "mkv", "prores", "r3d",
+    ),
+    "document": (
+        "pdf", "docx", "txt", "md", "csv", "pptx", "xlsx", "xls", "odt", "ods", "rtf",
+    ),
+    "audio": (
+        "mp3", "flac", "wav", "aac", "m4a", "ogg", "alac",
+    ),
 }
 MIME_TYPES = {
-    "image": "image/jpeg image/png image/webp image/bmp image/heic image/heif image/tiff image/x-adobe-dng image/x-canon-cr2 image/x-canon-cr3 image/x-nikon-nef image/x-fuji-raf image/x-panasonic-rw2 image/x-olympus-orf image/x-sony-arw image/raw",
-    "video": "video/mp4 video/webm video/quicktime video/x-msvideo video/x-matroska",
-    "document": "application/pdf application/vnd.openxmlformats-officedocument.wordprocessingml.document application/vnd.openxmlformats-officedocument.spreadsheetml.sheet application/vnd.openxmlformats-officedocument.presentationml.presentation application/vnd.ms-excel application/vnd.oasis.opendocument.text application/vnd.oasis.opendocument.spreadsheet application/rtf text/plain text/markdown text/csv",
-    "audio": "audio/mpeg audio/flac audio/wav audio/aac audio/mp4 audio/ogg audio/x-alac",
+    "image": (
+        "image/jpeg", "image/png", "image/webp", "image/bmp", "image/heic", "image/heif", "image/tiff", "image/x-adobe-dng", "image/x-canon-cr2",
+        "image/x-canon-cr3", "image/x-nikon-nef", "image/x-fuji-raf", "image/x-panasonic-rw2", "image/x-olympus-orf", "image/x-sony-arw",
+        "image/raw",
+    ),
+    "video": (
+        "video/mp4", "video/webm", "video/quicktime", "video/x-msvideo", "video/x-matroska",
+    ),
+    "document": (
+        "application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+        "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+        "application/vnd.openxmlformats-officedocument.presentationml.presentation", "application/vnd.ms-excel",
+        "application/vnd.oasis.opendocument.text", "application/vnd.oasis.opendocument.spreadsheet", "application/rtf", "text/plain",
+        "text/markdown", "text/csv",
+    ),
+    "audio": (
+        "audio/mpeg", "audio/flac", "audio/wav", "audio/aac", "audio/mp4", "audio/ogg", "audio/x-alac",
+    ),
 }
 CATEGORIES = ("image", "video", "audio", "document")
 
 
-def _lookup(values: dict[str, str], key: Column) -> Column:
-    pairs = [(x, kind) for kind, names in values.items() for x in names.split()]
+def _lookup(values: dict[str, tuple[str, ...]], key: Column) -> Column:
+    pairs = [(x, kind) for kind, names in values.items() for x in names]
     return F.try_element_at(F.create_map(*map(F.lit, chain.from_iterable(pairs))), key)
 
 
@@ -47,36 +69,36 @@ def stored_type(category: Column) -> Column:
     return F.when(category == "image", "picture").otherwise(category)
 
 
-def scan_category(listing: DataFrame, category: str) -> DataFrame:
-    """Valid rows of one category: a size, a MIME type, and an inferred type that is the category."""
-    sized = category in ("image", "video")
-    timed = category in ("video", "audio")
+def scan_phone(listing: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """Valid rows of a listing, of the given categories, in one pass: a size, a MIME type, and an inferred type.
+
+    Pictures and videos have a width and a height, videos and audio a duration.
+    """
+    kind = F.col("_kind")
     rows = listing.filter((F.col("sizeBytes") > 0) & (F.trim(F.coalesce("mimeType", F.lit(""))) != ""))
-    rows = rows.filter(media_type(F.col("absPath"), F.col("mimeType")) == category)
+    rows = rows.withColumn("_kind", media_type(F.col("absPath"), F.col("mimeType"))).filter(kind.isin(*categories))
+    side = lambda name: F.when(kind.isin("image", "video"), F.coalesce(name, F.lit(0))).otherwise(0).cast("int").alias(name)
     return rows.select(
         "mediaId",
         "contentUri",
         "absPath",
         "displayName",
-        F.lit(category).alias("fileDtype"),
+        kind.alias("fileDtype"),
         "mimeType",
         "sizeBytes",
         "mtimeUnix",
         F.lit(0).cast("long").alias("lastIndexedAt"),
-        (F.coalesce("widthPx", F.lit(0)) if sized else F.lit(0)).cast("int").alias("widthPx"),
-        (F.coalesce("heightPx", F.lit(0)) if sized else F.lit(0)).cast("int").alias("heightPx"),
-        (F.col("durationMs") if timed else F.lit(None)).cast("long").alias("durationMs"),
+        side("widthPx"),
+        side("heightPx"),
+        F.when(kind.isin("video", "audio"), F.col("durationMs")).cast("long").alias("durationMs"),
         F.lit("pending").alias("status"),
         F.lit(0).alias("retryCount"),
     )
 
 
-def scan_phone(listing: DataFrame) -> DataFrame:
-    """Images, videos, audio and documents of a listing, one after another."""
-    first, *rest = [scan_category(listing, c) for c in CATEGORIES]
-    for other in rest:
-        first = first.unionByName(other)
-    return first
+def scan_category(listing: DataFrame, category: str) -> DataFrame:
+    """Valid rows of one category."""
+    return scan_phone(listing, (category,))
 
 
 def to_files(scanned: DataFrame, first_id: Column | None = None) -> DataFrame:
