@@ -10,8 +10,9 @@ shared run of 13 words or more is covered whole.
 An item of fewer than 13 words is one window by itself: the hash of all its words
 is joined with the hashes of that many words in the documents.
 
-The benchmark is cut into blocks of a bounded size, and one block after another is
-broadcast, so its size is never a limit; documents aren't shuffled for one block.
+A benchmark of up to BLOCK_BYTES is broadcast, and documents aren't shuffled. A larger one
+never meets the driver: fingerprints of both sides are joined by shuffle, and the texts
+of the pairs that meet are fetched for the extension. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from .common import small_batches, whole_text
 SPAN = 13
 K = 7
 WINDOW = SPAN - K + 1
-#: Bytes of benchmark text in one broadcast block. An item longer than that is a block by itself.
+#: Bytes of benchmark text that are broadcast at most.
 BLOCK_BYTES = 16_000_000
 #: Word characters: ASCII digits and letters (lowered) and all beyond ASCII.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -144,20 +145,12 @@ class Block:
                             yield d, i, p, p + n
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str]]]:
-    """The benchmark's items in blocks of about block_bytes, one in the driver's memory at a time."""
-    held, n = [], 0
-    for row in benchmark.select("item_id", whole_text().alias("text")).toLocalIterator():
-        held.append((row["item_id"], row["text"]))
-        n += len(row["text"])
-        if n >= block_bytes:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+def named_items(benchmark: DataFrame) -> DataFrame:
+    """item (the item_id as a string, of a null one the empty string) and text of the benchmark, equal rows once."""
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), whole_text().alias("text")).distinct()
 
 
-def probe(docs: DataFrame, block: list[tuple[object, str]]) -> DataFrame:
+def probe(docs: DataFrame, block: list[tuple[str, str]]) -> DataFrame:
     """doc_id and the hash of the text with n_words, spans (start, end pairs in words) and items, for one block."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Block(block))
@@ -175,7 +168,7 @@ def probe(docs: DataFrame, block: list[tuple[object, str]]) -> DataFrame:
             for d, i, start, end in block.spans(hashes, bounds):
                 first = bounds[d] - counts[d]
                 spans[d] += [int(start - first), int(end - first)]
-                items[d].add(str(block.items[i]))
+                items[d].add(block.items[i])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(counts), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
                 ["doc_id", "text_hash", "n_words", "spans", "items"],
@@ -193,30 +186,85 @@ def covered(spans: list[int]) -> int:
     return total
 
 
+def fingerprints(rows: DataFrame, lengths: list[int], short: bool) -> DataFrame:
+    """n, fp and the columns of rows but its text: a text's winnowed fingerprints (n is 0) and hashes of n words.
+
+    Texts of a benchmark (short) of fewer than SPAN words have one hash, of all their
+    words, and no other; documents have those of all runs of each of lengths.
+    """
+    names = [c for c in rows.columns if c != "text"]
+    ordered = rows.select(*names, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in enumerate(batch.column(len(names)).to_pylist()):
+                hashes = word_hashes(words(text))
+                if short and len(hashes) < SPAN:
+                    found = [(len(hashes), gram_hashes(hashes, len(hashes)))] if len(hashes) else []
+                else:
+                    grams = gram_hashes(hashes, K)
+                    found = [(0, grams[winnow(grams)]), *((n, gram_hashes(hashes, n)) for n in lengths)]
+                for n, fps in found:
+                    fps = np.unique(fps)
+                    own = [c.take(pa.array(np.full(len(fps), row))) for c in batch.columns[: len(names)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), n, np.int32)), pa.array(fps.view(np.int64)), *own], ["n", "fp", *names])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema if f.name != "text")
+    return ordered.mapInArrow(run, f"n int, fp long, {kinds}")
+
+
+def joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_words, spans and items for each row of docs, by a join of fingerprints; no side is broadcast."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    items = items.withColumn("item_hash", F.xxhash64("text"))
+    texts = docs.select("doc_id", whole_text().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    theirs = fingerprints(items, [], True)
+    lengths = [r["n"] for r in theirs.select("n").filter("n > 0").distinct().collect()]  # fewer than SPAN
+    ours = fingerprints(texts, sorted(lengths), False)
+    # a fingerprint that many items or documents share is one row of each of them: what meets are pairs of texts
+    pairs = ours.join(theirs.hint("merge"), ["n", "fp"]).select("doc_id", "text_hash", "item", "item_hash").distinct()
+    whole = texts.dropDuplicates(["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "of", "text_hash": "of_hash"})
+    met = pairs.join(whole.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash"))).select("doc_id", "text_hash", "item", "item_hash", "text")
+    met = met.join(items.withColumnRenamed("text", "item_text").hint("merge"), ["item", "item_hash"]).select("doc_id", "text_hash", "text", "item", "item_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, block = None, None
+        for batch in batches:
+            doc_ids, hashes, texts, names, item_texts = batch.columns
+            for row in range(batch.num_rows):
+                item = names[row].as_py(), item_texts[row].as_py()
+                if item != last:
+                    last, block = item, Block([item])
+                found = word_hashes(words(texts[row].as_py()))
+                spans = [x for _, _, start, end in block.spans(found, np.array([len(found)])) for x in (int(start), int(end))]
+                if spans:
+                    yield pa.RecordBatch.from_arrays([doc_ids.slice(row, 1), hashes.slice(row, 1), pa.array([spans], pa.list_(pa.int64())), names.slice(row, 1)], ["doc_id", "text_hash", "spans", "item"])
+
+    spans = met.mapInArrow(run, f"doc_id {kind}, text_hash long, spans array<bigint>, item string")
+    each = spans.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    each = each.withColumnsRenamed({"doc_id": "of", "text_hash": "of_hash"})
+    rows = probe(docs, []).drop("spans", "items")
+    known = rows.join(each.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")), "left")
+    return known.select("doc_id", "text_hash", "n_words", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids as strings) for each row of docs (doc_id, text).
 
     n_hit counts the words inside an occurrence of any window of an item (item_id,
-    text). Null texts have no words, on either side; an empty benchmark hits nothing;
-    an empty docs gives an empty result. Repeated item_ids count once. Repeated rows
-    of docs give repeated results. Other columns are ignored.
+    text). Null texts have no words, on either side; a null item_id is the item named by the
+    empty string; an empty benchmark hits nothing; an empty docs gives an empty result.
+    Repeated item_ids count once, by all of their texts. Repeated rows of docs give
+    repeated results. Other columns are ignored. doc_id may be of any type that can be compared.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = [probe(docs, block) for block in item_blocks(benchmark, block_bytes)] or [probe(docs, [])]
-    found = parts[0]
-    if len(parts) > 1:
-        # rows equal in doc_id and text have equal results: they are merged over the blocks, then counted out again
-        for other in parts[1:]:
-            found = found.unionAll(other)
-        hit = F.col("spans") != F.array().cast("array<bigint>")
-        merged = found.groupBy("doc_id", "text_hash").agg(
-            F.max("n_words").alias("n_words"),
-            F.flatten(F.collect_set(F.when(hit, F.col("spans")))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("items")))))).alias("items"),
-            (F.count("*") / len(parts)).cast("int").alias("copies"),
-        )
-        found = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    items = named_items(benchmark)
+    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item")).alias("n"), F.count("*").alias("rows")).first()
+    if (size["n"] or 0) + 64 * size["rows"] <= block_bytes:
+        found = probe(docs, [(r["item"], r["text"]) for r in items.collect()])  # at most block_bytes
+    else:
+        found = joined(docs, items)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -317,6 +317,14 @@ def test_decontamination(spark, docs, block_bytes):
                     which.add(str(item))
         expected.append((i, len(w), len(hit), sorted(which)))
     assert by_row(found, "doc_id", "n_words", "n_hit", "items") == sorted(map(repr, expected))
+    # ids of other types, and a null id, an item's second text
+    odd = [(str(i), t) for i, t in items] + [(None, items[0][1]), ("1", items[0][1])]
+    told = spark.createDataFrame(rows, "doc_id long, text string").select(F.struct("doc_id", F.lit("x").alias("k")).alias("doc_id"), "text")
+    again = decontamination.contamination(told, spark.createDataFrame(odd, "item_id string, text string"), block_bytes).collect()
+    of = {e[0]: e for e in expected}
+    for r in again:
+        i, n, hit, which = of[r.doc_id.doc_id]
+        assert (r.n_words, r.n_hit, r["items"]) == (n, hit, sorted(set(which) | ({"", "1"} if "0" in which else set())))
     none = decontamination.contamination(docs, spark.createDataFrame([], "item_id long, text string"))
     assert none.count() == len(TEXTS) and none.agg(F.sum("n_hit")).first()[0] == 0
 
