@@ -60,9 +60,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+#: What this driver has written to the shared folder.
+_WRITTEN: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_remove_written)
+    _WRITTEN.append(path)
+    return path
+
+
+def _remove_written() -> None:
+    from pyspark import SparkContext
+
+    jvm = SparkContext._jvm
+    if jvm is None:
+        return
+    for path in _WRITTEN:
+        try:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+        except Exception:  # the session may be gone already; what is left lies in the folder for temporary files
+            return
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

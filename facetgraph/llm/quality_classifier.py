@@ -151,19 +151,24 @@ class Scorer:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Whether a row teaches nothing: by its doc_id, and where that is null, as no label can be its own."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     """Train on the texts of at most sample labelled rows that aren't held out.
 
-    Rows with a null id or label teach nothing; of repeated ids one row is taken.
+    Rows with a null id or label teach nothing. Of rows of documents that repeat an id the
+    one of the least text hash is taken, so at most sample texts reach the driver, one at a time: their
+    features are kept there, their texts aren't.
     """
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most sample rows of ids
-    rows = [(r["doc_id"], *text_features(r["text"]), r["y"]) for r in texts.toLocalIterator()]
-    return train([r[1:] for r in sorted(rows, key=lambda r: (r[0], len(r[1])))])
+    first = texts.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("least"))
+    once = texts.join(F.broadcast(first), "doc_id").filter(F.xxhash64("text") == F.col("least")).dropDuplicates(["doc_id"])
+    rows = [(r["doc_id"], *text_features(r["text"]), r["y"]) for r in once.toLocalIterator()]
+    return train([r[1:] for r in sorted(rows, key=lambda r: r[0])])
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

@@ -237,7 +237,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     small_batches(docs.sparkSession)
     new = {"ids": "array<int>", "n_pieces": "long", "n_byte_pieces": "long", "ids_crc32": "long", "round_trip": "boolean"}
     rest = docs.drop(*[c for c in new if c in docs.columns])
-    names = rest.columns
+    whole = rest.select(whole_text().alias("_whole"), "*")
+    # columns of any name, also of names with dots, go through as c0, c1, ...
+    shown = [*rest.columns, *new]
+    names = [f"c{k}" for k in range(len(rest.columns))]
+    whole = whole.toDF("_whole", *names).select(*names, "_whole")
     n_rest = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,8 +264,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [*names, *new])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), *(f"{k} {v}" for k, v in new.items())])
-    return rest.select("*", whole_text().alias("_whole")).mapInArrow(run, schema)
+    schema = ", ".join([*(f"{c} {f.dataType.simpleString()}" for c, f in zip(names, rest.schema, strict=True)), *(f"{k} {v}" for k, v in new.items())])
+    return whole.mapInArrow(run, schema).toDF(*shown)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:

@@ -32,6 +32,8 @@ SHINGLE = 4
 SEED = 42
 #: Rows of a bucket that one task compares; larger buckets are dealt out by pairs of chunks.
 BUCKET = 16_384
+#: Tasks that a component's members are dealt to when they learn its name.
+SALTS = 64
 #: Cost of verifying a candidate against that of shuffling a probe.
 VERIFY_COST = 0.02
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -223,7 +225,10 @@ def bucket_edges(slot: np.ndarray, role: np.ndarray, fp: np.ndarray, tau: int) -
 
 
 def links(fps: DataFrame, tau: int = TAU, bucket: int = BUCKET) -> DataFrame:
-    """a, b: edges that connect what is within tau bits among distinct fingerprints fps (fp)."""
+    """a, b: edges that connect what is within tau bits among distinct fingerprints fps (fp).
+
+    Null fingerprints have no links, a repeated one does no harm, an empty table gives no edges.
+    """
     n, both = bit_counts(fps)
     groups, radii = allocate(n, both, tau)
     rows = entries(fps, groups, radii).withColumn("chunk", F.lit(0).cast("long"))
@@ -278,6 +283,10 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, width: int = SHINGLE, bucke
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = components(links(fps, tau, bucket))
     named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stored(named.join(least, "root").select("fp", "component_id"), "fingerprint-components")
+    # a fingerprint without links is its own component; a large component's members meet its name in SALTS tasks
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).filter("n > 1")
+    salted = least.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = named.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"], "left")
+    component = F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("first"))
+    named = stored(met.select("fp", component.alias("component_id")), "fingerprint-components")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
