@@ -96,7 +96,50 @@ QUERIES: dict[str, Query] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def words_sql(table: str, key: str) -> str:
+    """Words of contract 10 of a table's texts, as a list."""
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"SELECT {key}, list_filter(string_split_regex({lowered}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM {table}"
+
+
+def windows_sql(n: str) -> str:
+    return f"unnest(range(1, len(w) - {n} + 2)) AS pos, unnest(list_transform(range(1, len(w) - {n} + 2), lambda k: array_to_string(w[k:k + {n} - 1], ' '))) AS gram"
+
+
+#: Op10 is plain SQL. Of op4 and op7 SQL can say what quality_counts and text_sizes return. All other results rest on
+#: tokenizers, hashes, places of matches or estimated models, and are tested in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op10_decontamination": f"""WITH d AS MATERIALIZED ({words_sql('documents', 'doc_id')}), i AS ({words_sql('benchmark', 'item_id')}),
+n AS (SELECT item_id, w, least(13, len(w)) AS n FROM i WHERE len(w) > 0), g AS (SELECT DISTINCT n, item_id, gram FROM (SELECT n, item_id, {windows_sql('n')} FROM n)),
+grams AS (SELECT DISTINCT n, gram FROM g), sizes AS (SELECT DISTINCT n FROM g),
+h AS (SELECT doc_id, n, pos, gram FROM (SELECT doc_id, n, {windows_sql('n')} FROM d, sizes WHERE len(w) >= n) SEMI JOIN grams USING (n, gram)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS place FROM h) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS said FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h JOIN g USING (n, gram)) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(said, '')) AS items_sha256,
+coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "quality_counts": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[ 	-
+]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT *, list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]) AS windows, list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '[ 	-
+]+', '', 'g') <> '') AS lines FROM d),
+r AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(pos, pos + 3)) AS place FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, gram) AS times FROM (SELECT doc_id, unnest(range(1, len(windows) + 1)) AS pos, unnest(windows) AS gram FROM g)) WHERE times > 1) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed FROM g LEFT JOIN r USING (doc_id)""",
+    "text_sizes": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents",
+}
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 counts, without its verdict."""
+    counted = quality_rules.statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.base_failed().alias("base_failed"))
+
+
+def text_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes that op7 returns beside its counts."""
+    return op7_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
+QUERIES |= {"quality_counts": quality_counts, "text_sizes": text_sizes}
 
 
 def queries() -> dict[str, Query]:
