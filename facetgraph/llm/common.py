@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 #: Rows and bytes that one Arrow batch may hold on its way to Python. Texts may be long, so
 #: a batch is kept far below Spark's defaults of 10,000 rows and 64 MB; a longer text is a batch alone.
 ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
@@ -42,24 +42,6 @@ def runs_of_texts(texts: list[str], rows: int = 64, chars: int = 1 << 20) -> Ite
         yield first, len(texts)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is missing, a local session (tests) gets a temporary folder;
-    on a cluster that is an error, as executors wouldn't see such a folder.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="corpus-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
-
 #: What this driver has written to the shared folder.
 _WRITTEN: list[str] = []
 
