@@ -235,7 +235,7 @@ def edit_distance(spark, d):
 
 @query()
 def search_pipeline(spark, d):
-    """Every part's name as a query over the whole catalogue: spelling, names, caption, neighbours, burst filter."""
+    """Every nation's name as a query over the whole catalogue: spelling, names, caption, neighbours, burst filter."""
     asked = read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("photos of "), F.lower("n_name")).alias("text"), F.lit(-1).cast("long").alias("owner_entity_id"))
     found = proxies.detections(spark, d)
     pictures = read(spark, d, "embeddings").select(F.col("vec_id").alias("file_id"), "embedding")
