@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lm_scoring, quality_classifier, quality_rules, secrets, sentence_pieces, sharding, simhash, token_counts, token_store
-from .common import small_batches, table
+from . import centroids, chat_format, decontamination, lm_scoring, periodic_runs, quality_classifier, quality_rules, secrets, sentence_pieces, sharding, simhash, token_counts, token_store
+from .common import small_batches, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +83,57 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text of documents, with the contract's period planted in those whose hash is divisible by ten; a null doc_id gets none."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    # the others keep their text as it is, so few texts are split here
+    chosen = docs.select("doc_id", whole_text().alias("text"), h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    n, g = F.size("w").cast("long"), F.floor(F.col("h") / 10)
+    first = F.try_mod(g, n)
+    period = 1 + F.floor((n - first) / (3 + g % 8))
+    placed = chosen.withColumn("n", n).withColumn("a", first).withColumn("p", period)
+    word = lambda w, i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.transform("w", word), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(planted(table(spark, sf_dir, "documents"))).withColumn("best", periodic_runs.longest(F.col("runs")))
+    said = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(said, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", whole_text().alias("text"))
+    said = F.lit("</s>[INST] ok [/INST]")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    formatted = chat_format.format_conversations(turns.unionByName(more).select("conv_id", "turn", "role", chat_format.text_part(F.col("text")).alias("parts")))
+    read = formatted.select("conv_id", "formatted", chat_format.read_turns(F.col("formatted")).alias("turns"), chat_format.read_loss(F.col("formatted"), F.col("turn_starts"), F.col("loss_spans")).alias("loss"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), F.array_join(chat_format.read_texts(t["body"]), ""), F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length(F.array_join("loss", "")).cast("long").alias("loss_chars"),
+        F.sha2(F.array_join("loss", ""), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centers = centroids.clustered(table(spark, sf_dir, "embeddings"))
+    told = centers.select("cluster", "cluster_inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+    return found.join(F.broadcast(told), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")  # a row for each centroid
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_store": op1_token_store,
     "op2_secret_scan": op2_secret_scan,
@@ -94,8 +145,35 @@ QUERIES: dict[str, Query] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_decontamination": op10_decontamination,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_chat_format": op12_chat_format,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
+
+def escaped_sql(text: str) -> str:
+    """The escapes of op12's template."""
+    for pattern, first in chat_format.ESCAPES:
+        text = f"regexp_replace({text}, '{pattern}', '{first}\\\\\\1\\2', 'g')"
+    return text
+
+
+def clusters_sql(rounds: int = 10) -> str:
+    """Op13's rounds one after another: c0, c1 ... are the centroids, a0, a1 ... the assignments to them."""
+    near = "SELECT v.vec_id, v.e, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT v.vec_id, v.nth, v.e, c.k, list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, {c} AS c) AS v GROUP BY v.nth, v.vec_id, v.e"
+    steps = [f"a0 AS MATERIALIZED ({near.format(c='c0')})"]
+    for r in range(rounds):
+        cells = f"SELECT k, place, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(e) AS x, unnest(range(1, 65)) AS place FROM a{r}) GROUP BY 1, 2"
+        moved = f"SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS e FROM ({cells}) GROUP BY 1"
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m.e, c{r}.e) AS e FROM c{r} LEFT JOIN ({moved}) AS m USING (k))")
+        steps.append(f"a{r + 1} AS MATERIALIZED ({near.format(c=f'c{r + 1}')})")
+    return (
+        "WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS nth, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64), "
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, e) - 1 AS k, e FROM (SELECT sha256('3:' || vec_id) AS h, e FROM v ORDER BY h, e LIMIT 8)), "
+        + ", ".join(steps)
+        + f" SELECT vec_id, CAST(a{rounds}.k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a{rounds}.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} AS c USING (k)"
+    )
+
 def words_sql(table: str, key: str) -> str:
     """Words of contract 10 of a table's texts, as a list."""
     lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -124,6 +202,11 @@ g AS (SELECT *, list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[
 r AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(pos, pos + 3)) AS place FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, gram) AS times FROM (SELECT doc_id, unnest(range(1, len(windows) + 1)) AS pos, unnest(windows) AS gram FROM g)) WHERE times > 1) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
 CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed FROM g LEFT JOIN r USING (doc_id)""",
+    "op12_chat_format": f"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, t.turn, CASE t.turn WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM (SELECT unnest([0, 1]) AS turn) AS t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(7 + length({escaped_sql('text')}) + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 0 ELSE 13 + length({escaped_sql('role')}) END) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id""",
+    "op13_centroid_clustering": clusters_sql(),
     "text_sizes": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents",
 }
 

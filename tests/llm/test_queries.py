@@ -46,9 +46,9 @@ def rows(spark, folder, name):
 
 def test_every_operator_has_its_query(spark, folder):
     names = list(queries.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     for n in names:
-        if n.startswith("op"):
+        if n.startswith("op") and not n.startswith(("op12", "op13")):  # these two read other tables, see test_chat_format.py and test_centroids.py
             assert set(rows(spark, folder, n)) == {i for i, _ in ROWS}, n
 
 
@@ -153,5 +153,5 @@ def test_very_long_texts_and_null_ids(spark, tmp_path, kind):
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     spark.createDataFrame([], f"doc_id {kind}, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     for n, query in queries.queries().items():
-        if n.startswith("op"):
+        if n.startswith("op") and not n.startswith(("op12", "op13")):
             assert query(spark, at).count() == 3, n
