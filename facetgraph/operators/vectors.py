@@ -15,17 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vector
+from .pivots import BLOCK_ROWS, PIVOTS, ROUNDING, best_rows, knn_by_pivots
 
 #: Query vectors that one broadcast block holds; more are searched block by block.
 QUERY_BLOCK = 4096
+#: Centroids that are broadcast at most, 64 MB at 512 components; more are joined by pivots.
+SENT = 16_384
 #: Blocks of centroids that a task holds at once; more are searched in a further pass over the rows.
 HELD_BLOCKS = 16
-#: Rows of a block of a similarity join, about.
-BLOCK_ROWS = 8192
-#: Pivots of a similarity join at most.
-PIVOTS = 4096
-#: Bound of the rounding errors of rough squared distances, as a share of both vectors' squares.
-ROUNDING = 1e-10
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", metric: str = "l2", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -36,59 +33,41 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id",
     return rows.select(key, *keep, far.alias("distance")).orderBy("distance", key).limit(k)
 
 
-def _blocks(queries: DataFrame, key: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, rows = [], []
-    for r in queries.select(key, "embedding").toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == QUERY_BLOCK:
-            yield np.array(ids, np.int64), np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, np.int64), np.array(rows, np.float64)
+def _blocks(queries: DataFrame, key: str, most: int) -> list[tuple[np.ndarray, np.ndarray]] | None:
+    """Keys and vectors of queries in blocks of QUERY_BLOCK, or None where there are more than most of them."""
+    rows = queries.select(key, "embedding").limit(most + 1).collect()
+    if len(rows) > most:
+        return None
+    return [(np.array([r[0] for r in some], np.int64), np.array([r[1] for r in some], np.float64)) for some in (rows[at : at + QUERY_BLOCK] for at in range(0, len(rows), QUERY_BLOCK))]
 
 
 def knn_join(vectors: DataFrame, queries: DataFrame, k: int, within: float | None = None, key: str = "vec_id", query_key: str = "query_id") -> DataFrame:
     """query_id, key, distance: for each query its k nearest vectors by L2, at most within away.
 
-    Rows of another dimension than the queries' are skipped, as are null ones.
+    Up to QUERY_BLOCK queries are sent to the vectors, of which each task hands on its best; more are joined by
+    pivots. Rows of another dimension than the queries' are skipped, as are null ones.
     """
-    spark, parts = vectors.sparkSession, []
-    for ids, rows in _blocks(queries, query_key):
-        shared = spark.sparkContext.broadcast((ids, rows))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, rows = shared.value
-            squares = (rows**2).sum(axis=1)
-            for batch in batches:
-                keep = [(i, e) for i, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if e is not None and len(e) == rows.shape[1]]
-                if not keep:
-                    continue
-                own = np.array([i for i, _ in keep], np.int64)
-                x = np.array([e for _, e in keep], np.float64)
-                far = np.nanmax((x**2).sum(axis=1), initial=0.0)
-                for at in range(0, len(rows), 256):
-                    q = rows[at : at + 256]
-                    rough = squares[at : at + 256, None] - 2 * q @ x.T + (x**2).sum(axis=1)[None, :]
-                    # all rows up to the k-th rough distance, and what rounding may have put beyond it
-                    kth = np.partition(rough, min(k, len(own)) - 1, axis=1)[:, min(k, len(own)) - 1]
-                    margin = ROUNDING * (squares[at : at + 256] + far)
-                    of, near = np.nonzero(~(rough > (kth + margin)[:, None]))
-                    step = max(1, (1 << 22) // rows.shape[1])
-                    exact = np.concatenate([np.sqrt(((x[near[i : i + step]] - q[of[i : i + step]]) ** 2).sum(axis=1)) for i in range(0, len(of), step)])
-                    order = np.lexsort((own[near], exact, of))
-                    first = np.searchsorted(of, np.arange(len(q)))
-                    order = order[np.arange(len(of)) - first[of] < k]
-                    of, near, exact = of[order], near[order], exact[order]
-                    keep_row = np.ones(len(exact), bool) if within is None else exact <= within
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + of][keep_row]), pa.array(own[near][keep_row]), pa.array(exact[keep_row])], ["q", "v", "distance"])
-
-        parts.append(vectors.select(F.col(key).cast("long"), "embedding").mapInArrow(run, "q long, v long, distance double"))
-    if not parts:
+    spark = vectors.sparkSession
+    sent = _blocks(queries, query_key, QUERY_BLOCK)
+    if sent is None:
+        return knn_by_pivots(vectors, queries, k, within, key, query_key)
+    if not sent:
         return spark.createDataFrame([], f"{query_key} long, {key} long, distance double")
-    found = parts[0]
-    for other in parts[1:]:
-        found = found.unionAll(other)
+    shared = spark.sparkContext.broadcast(sent[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows = shared.value
+        for batch in batches:
+            places, x = _rows_of(batch.column(1), rows.shape[1])
+            if not len(places):
+                continue
+            own = batch.column(0).to_numpy(zero_copy_only=False)[places]
+            for at in range(0, len(rows), 256):
+                of, near, exact = best_rows(rows[at : at + 256], own, x, k)
+                keep = np.ones(len(exact), bool) if within is None else exact <= within
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + of][keep]), pa.array(own[near][keep]), pa.array(exact[keep])], ["q", "v", "distance"])
+
+    found = vectors.select(F.col(key).cast("long"), "embedding").mapInArrow(run, "q long, v long, distance double")
     order = Window.partitionBy("q").orderBy("distance", "v")
     return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).select(F.col("q").alias(query_key), F.col("v").alias(key), "distance")
 
@@ -173,12 +152,15 @@ def mean_vectors(vectors: DataFrame, group: str, weight: Column | None = None) -
 def assign_to_centroids(faces: DataFrame, centroids: DataFrame, within: float | None = 0.75, key: str = "vec_id") -> DataFrame:
     """key, entity_id, distance of the faces whose nearest centroid, left as it is, lies within reach.
 
-    Blocks of centroids are broadcast and each face keeps its best in its own task:
+    Up to SENT centroids are broadcast in blocks and each face keeps its best in its own task:
     faces are neither shuffled nor collected. HELD_BLOCKS blocks are searched in one
-    pass over the faces; a larger set takes further passes, which hand the best on. Of
-    equally near centroids the least id is taken. Null vectors, and those of another dimension, have none.
+    pass over the faces; a larger set takes further passes, which hand the best on. More centroids are
+    joined by pivots. Of equally near centroids the least id is taken. Null vectors, and those of another dimension, have none.
     """
     spark = faces.sparkSession
+    sent = _blocks(centroids.filter(F.col("embedding").isNotNull()), "entity_id", SENT)
+    if sent is None:
+        return knn_by_pivots(centroids, faces, 1, within, "entity_id", key).select(key, "entity_id", "distance")
     best = faces.select(F.col(key).cast("long").alias(key), "embedding", F.lit(None).cast("long").alias("entity_id"), F.lit(None).cast("double").alias("distance"))
     kind = dict(best.dtypes)["embedding"]
     held: list = []
@@ -210,7 +192,7 @@ def assign_to_centroids(faces: DataFrame, centroids: DataFrame, within: float |
 
         return rows.mapInArrow(run, f"{key} long, embedding {kind}, entity_id long, distance double")
 
-    for block in _blocks(centroids.filter(F.col("embedding").isNotNull()), "entity_id"):
+    for block in sent:
         held.append(spark.sparkContext.broadcast(block))
         if len(held) == HELD_BLOCKS:
             best, held = searched(best, held), []

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,9 +29,40 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+#: What this driver has written to the shared folder.
+_WRITTEN: list[str] = []
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_remove_written)
+    _WRITTEN.append(path)
+    return path
+
+
+def _remove_written() -> None:
+    jvm = SparkContext._jvm
+    for path in _WRITTEN if jvm is not None else []:
+        try:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+        except Exception:  # the session may be gone already; what is left lies in the folder for temporary files
+            return
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: what several steps use is computed once, and a lost executor costs no lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what ``stored`` wrote, once nothing reads it any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(parent)
+        path.getFileSystem(conf).delete(path, True)
