@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir
+from ..storage import discard, shared_dir, shared_path, stored  # noqa: F401 (the operators take them from here)
 
 #: Rows and bytes that one Arrow batch may hold on its way to Python. Texts may be long, so
 #: a batch is kept far below Spark's defaults of 10,000 rows and 64 MB; a longer text is a batch alone.
@@ -42,50 +40,6 @@ def runs_of_texts(texts: list[str], rows: int = 64, chars: int = 1 << 20) -> Ite
         yield first, len(texts)
 
 
-#: What this driver has written to the shared folder.
-_WRITTEN: list[str] = []
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _WRITTEN:
-        atexit.register(_remove_written)
-    _WRITTEN.append(path)
-    return path
-
-
-def _remove_written() -> None:
-    from pyspark import SparkContext
-
-    jvm = SparkContext._jvm
-    if jvm is None:
-        return
-    for path in _WRITTEN:
-        try:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
-        except Exception:  # the session may be gone already; what is left lies in the folder for temporary files
-            return
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage at a copy that outlives executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove what ``stored`` wrote, once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
