@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,10 +36,14 @@ def distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ p.T + (p**2).sum(axis=1)[None, :], 0))
 
 
-def finite(rows: DataFrame, size: int) -> DataFrame:
-    """Rows whose embedding has this size and finite components only."""
+def is_finite(size: int) -> Column:
+    """Whether the embedding has this size and finite components only."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.filter((F.size("embedding") == size) & fine)
+    return F.coalesce((F.size("embedding") == size) & fine, F.lit(False))
+
+
+def finite(rows: DataFrame, size: int) -> DataFrame:
+    return rows.filter(is_finite(size))
 
 
 def most_common_size(rows: DataFrame) -> tuple[int, int]:

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vector
-from .pivots import BLOCK_ROWS, PIVOTS, ROUNDING, best_rows, knn_by_pivots
+from ..storage import stored
+from .pivots import BLOCK_ROWS, PIVOTS, ROUNDING, best_rows, finite, is_finite, knn_by_pivots
+from .rounds import ENTITIES, MOST, Rule, in_rounds, named, ranked
 
 #: Query vectors that one broadcast block holds; more are searched block by block.
 QUERY_BLOCK = 4096
@@ -234,20 +236,24 @@ class Centroids:
         return self.ids[-1]
 
 
-def lead(rows: list[tuple], start: list[tuple] = (), near: float = 0.6, blurry: float = 0.75, sharp: float = 0.5, alpha: float = 0.1, first: int = 1) -> tuple[list[tuple], list[tuple]]:
+#: The score from which a face isn't blurry, and a face's part in its centroid.
+SHARP, ALPHA = 0.5, 0.1
+
+
+def lead(rows: list[tuple], start: list[tuple] = (), near: float = 0.6, blurry: float = 0.75, sharp: float = SHARP, alpha: float = ALPHA, first: int = 1) -> tuple[list[tuple], list[tuple]]:
     """Online leader clustering of (id, vector, score) in order: [(id, entity or None, distance or None)] and the centroids after it.
 
     A face joins its nearest centroid if that is near enough (blurry faces, of a score
     below sharp, may be farther away), and draws the centroid along; else it opens an
     entity, unless it is blurry. start: (entity, vector) known before; new entities get
-    the numbers after them, from first on. Null vectors and those of another dimension stay without entity.
+    the numbers after them, from first on. Null vectors, those of another dimension and those with a component that isn't finite stay without entity.
     """
     size = len(start[0][1]) if start else next((len(v) for _, v, _ in rows if v is not None), 0)
-    known = Centroids([s for s in start if s[1] is not None and len(s[1]) == size])
+    known = Centroids([s for s in start if s[1] is not None and len(s[1]) == size and np.isfinite(np.asarray(s[1], np.float64)).all()])
     known.next = max(known.next, first)
     out = []
     for i, v, score in rows:
-        if v is None or len(v) != size:
+        if v is None or len(v) != size or not np.isfinite(np.asarray(v, np.float64)).all():
             out.append((i, None, None))
             continue
         v = np.asarray(v, np.float64)
@@ -262,13 +268,34 @@ def lead(rows: list[tuple], start: list[tuple] = (), near: float = 0.6, blurry:
     return out, [(e, known.rows[k].tolist()) for k, e in enumerate(known.ids)]
 
 
-def cluster_step(faces: DataFrame, centroids: DataFrame | None = None, key: str = "vec_id", order: str | None = None, scope: str | None = None, near: float = 0.6, blurry: float = 0.75, first: int = 1) -> DataFrame:
+def _lead_apart(rows: DataFrame, known: DataFrame, key: str, near: float, blurry: float, first: int, most: int) -> DataFrame:
+    """cluster_step of one scope, in rounds of many tasks; rows as cluster_step has them."""
+    spark = rows.sparkSession
+    own = known.filter(F.col("embedding").isNotNull())
+    like = own.orderBy("entity_id").select(F.size("embedding")).first() or rows.filter(F.col("embedding").isNotNull()).orderBy("_order", "_key").select(F.size("embedding")).first()
+    size = like[0] if like else 0
+    start, fine = finite(own, size), finite(rows, size)
+    base = 1 + (start.agg(F.max("entity_id")).first()[0] or 0)
+    scope = rows.select("_scope").first()[0]
+    sharp = F.coalesce("score", F.lit(1.0)) >= SHARP
+    numbered = ranked(fine.select("_key", "_order", F.col("embedding").cast("array<double>").alias("embedding"), F.when(sharp, near).otherwise(blurry).cast("double").alias("reach"), sharp.alias("opens")), "_order", "_key")
+    faces = numbered.select((F.col("nth") + base).alias("id"), F.col("_key").alias("key"), "embedding", "reach", "opens", F.lit(1.0).alias("w"))
+    found, after = in_rounds(faces, start.select(F.col("entity_id").alias("id"), "embedding", F.lit(1.0).alias("w")), size, Rule(True, ALPHA), most)
+    opened = ranked(after.filter(F.col("id") >= base).select("id"), "id").select(F.col("id").alias("entity"), (F.col("nth") + max(base, first)).alias("name"))
+    led = named(found, opened).select(F.col("key").alias(key), F.coalesce("name", "entity").alias("entity_id"), "distance", F.lit(None).cast("array<float>").alias("embedding"))
+    centroids = after.join(opened, after["id"] == opened["entity"], "left").select(F.lit(None).cast("long").alias(key), F.coalesce("name", "id").alias("entity_id"), F.lit(None).cast("double").alias("distance"), F.col("embedding").cast("array<float>").alias("embedding"))
+    odd = rows.filter(~is_finite(size)).select(F.col("_key").alias(key), F.lit(None).cast("long").alias("entity_id"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("array<float>").alias("embedding"))
+    return led.unionByName(centroids).unionByName(odd).select(F.lit(scope).cast("long").alias("scope"), "*")
+
+
+def cluster_step(faces: DataFrame, centroids: DataFrame | None = None, key: str = "vec_id", order: str | None = None, scope: str | None = None, near: float = 0.6, blurry: float = 0.75, first: int = 1, most: int = MOST) -> DataFrame:
     """scope, key, entity_id, distance of faces by leader clustering in the order of a column, and rows of a null key with the embedding of each centroid after it.
 
     centroids (entity_id, embedding and scope): those of earlier steps; without them
     clustering starts anew. Each value of scope (an owner, a library) is a sequence of
-    its own with its own numbers, and sequences run beside each other; without scope the
-    whole table is one sequence, which is what its semantics ask for.
+    its own with its own numbers; without scope the whole table is one. Sequences of at most most faces (and four times
+    as many centroids) are gone through by a task each, beside each other; a longer one is led in rounds over
+    many tasks, with the same result. Null vectors, and those of another dimension or with a component that isn't finite, have no entity.
     """
     spark = faces.sparkSession
     of = F.lit(0).cast("long") if scope is None else F.col(scope).cast("long")
@@ -293,12 +320,22 @@ def cluster_step(faces: DataFrame, centroids: DataFrame | None = None, key: str
             "embedding": pa.array([None] * len(found) + [a[1] for a in after], pa.list_(pa.float32())),
         })
 
-    return rows.groupBy("_scope").cogroup(known.groupBy("_scope")).applyInArrow(run, f"scope long, {key} long, entity_id long, distance double, embedding array<float>")
+    counts = rows.groupBy("_scope").agg(F.count("*").alias("n")).join(known.groupBy("_scope").agg(F.count("*").alias("c")), "_scope", "left")
+    # as many at most as faces make sequences of more than most
+    long = [r["_scope"] for r in counts.filter((F.col("n") > most) | (F.col("c") > ENTITIES * most)).select("_scope").collect()]
+    of_long = lambda s: F.col("_scope").eqNullSafe(F.lit(s).cast("long"))
+    apart = [_lead_apart(rows.filter(of_long(s)), known.filter(of_long(s)), key, near, blurry, first, most) for s in long]
+    for s in long:
+        rows, known = rows.filter(~of_long(s)), known.filter(~of_long(s))
+    whole = rows.groupBy("_scope").cogroup(known.groupBy("_scope")).applyInArrow(run, f"scope long, {key} long, entity_id long, distance double, embedding array<float>")
+    for more in apart:
+        whole = whole.unionByName(more)
+    return whole
 
 
-def cluster_online(faces: DataFrame, key: str = "vec_id", order: str | None = None, scope: str | None = None, near: float = 0.6, blurry: float = 0.75, centroids: DataFrame | None = None) -> DataFrame:
+def cluster_online(faces: DataFrame, key: str = "vec_id", order: str | None = None, scope: str | None = None, near: float = 0.6, blurry: float = 0.75, centroids: DataFrame | None = None, most: int = MOST) -> DataFrame:
     """scope, key, entity_id, distance of the faces of cluster_step."""
-    return cluster_step(faces, centroids, key, order, scope, near, blurry).filter(F.col("embedding").isNull()).drop("embedding")
+    return cluster_step(faces, centroids, key, order, scope, near, blurry, most=most).filter(F.col("embedding").isNull()).drop("embedding")
 
 
 def absorb(rows: list[tuple], within: float = 1.0) -> list[tuple]:
@@ -335,12 +372,34 @@ def absorbed(rows: list[tuple], within: float = 1.0) -> tuple[list[tuple], list[
     return out, left
 
 
-def merge_step(centroids: DataFrame, within: float = 1.0, scope: str | None = None) -> DataFrame:
+def _merge_apart(rows: DataFrame, within: float, most: int) -> DataFrame:
+    """merge_step of one scope, in rounds of many tasks: going down by weight, an entity is absorbed by the first keeper within reach, or becomes one."""
+    parts = []
+    for size in [r[0] for r in rows.select(F.size("embedding")).distinct().collect()]:  # dimensions of models, a few
+        fine = finite(rows, size)
+        ordered = fine.select("entity_id", F.col("embedding").cast("array<double>").alias("embedding"), (-F.coalesce("sample_count", F.lit(0))).alias("_light"))
+        numbered = ranked(ordered, "_light", "entity_id").select(F.col("nth").alias("id"), F.col("entity_id").alias("key"), "embedding", F.lit(float(within)).alias("reach"), F.lit(True).alias("opens"), F.greatest(-F.col("_light"), F.lit(1)).cast("double").alias("w"))
+        found, after = in_rounds(numbered, None, size, Rule(False), most)
+        keepers = stored(after.join(numbered.select("id", F.col("key").alias("name")), "id"), "keepers")
+        gone = named(found.filter("entity != id"), keepers.select(F.col("id").alias("entity"), "name"))
+        parts.append(gone.select(F.col("key").alias("entity_id"), F.col("name").alias("keeper_id"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("long").alias("sample_count")))
+        parts.append(keepers.select(F.col("name").alias("entity_id"), F.lit(None).cast("long").alias("keeper_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("w").cast("long").alias("sample_count")))
+        odd = rows.filter((F.size("embedding") == size) & ~is_finite(size))
+        parts.append(odd.select("entity_id", F.lit(None).cast("long").alias("keeper_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.greatest(F.coalesce("sample_count", F.lit(0)), F.lit(1)).cast("long").alias("sample_count")))
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def merge_step(centroids: DataFrame, within: float = 1.0, scope: str | None = None, most: int = MOST) -> DataFrame:
     """entity_id, keeper_id, embedding, sample_count over centroids (entity_id, embedding, sample_count), greedily by sample_count.
 
     A merged entity has its keeper; one that is left has none, and its centroid and weight with all that it absorbed.
+    Scopes of at most most entities are merged by a task each, larger ones in rounds over many tasks, with the same
+    result. Null vectors have no row, those of another dimension meet their like, and one with a component that isn't finite is left as it is.
     """
-    scoped = centroids.withColumn("_scope", F.lit(0).cast("long") if scope is None else F.col(scope).cast("long"))
+    rows = centroids.select((F.lit(0).cast("long") if scope is None else F.col(scope).cast("long")).alias("_scope"), F.col("entity_id").cast("long"), "embedding", F.col("sample_count").cast("long")).filter(F.col("embedding").isNotNull())
 
     def run(table: pa.Table) -> pa.Table:
         found, left = absorbed([(r["entity_id"], r["embedding"], r["sample_count"] or 0) for r in table.to_pylist()], within)
@@ -351,13 +410,21 @@ def merge_step(centroids: DataFrame, within: float = 1.0, scope: str | None = No
             "sample_count": pa.array([None] * len(found) + [x[2] for x in left], pa.int64()),
         })
 
-    rows = scoped.select("_scope", F.col("entity_id").cast("long"), "embedding", F.col("sample_count").cast("long"))
-    return rows.groupBy("_scope").applyInArrow(run, "entity_id long, keeper_id long, embedding array<float>, sample_count long")
+    # as many at most as entities make scopes of more than most
+    long = [r["_scope"] for r in rows.groupBy("_scope").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("_scope").collect()]
+    of_long = lambda s: F.col("_scope").eqNullSafe(F.lit(s).cast("long"))
+    apart = [_merge_apart(rows.filter(of_long(s)), within, most) for s in long]
+    for s in long:
+        rows = rows.filter(~of_long(s))
+    whole = rows.groupBy("_scope").applyInArrow(run, "entity_id long, keeper_id long, embedding array<float>, sample_count long")
+    for more in apart:
+        whole = whole.unionByName(more)
+    return whole
 
 
-def merge_entities(centroids: DataFrame, within: float = 1.0, scope: str | None = None) -> DataFrame:
+def merge_entities(centroids: DataFrame, within: float = 1.0, scope: str | None = None, most: int = MOST) -> DataFrame:
     """merged_id, keeper_id of merge_step."""
-    return merge_step(centroids, within, scope).filter(F.col("keeper_id").isNotNull()).select(F.col("entity_id").alias("merged_id"), "keeper_id")
+    return merge_step(centroids, within, scope, most).filter(F.col("keeper_id").isNotNull()).select(F.col("entity_id").alias("merged_id"), "keeper_id")
 
 
 def remap(rows: DataFrame, merges: DataFrame, column: str = "entity_id") -> DataFrame:

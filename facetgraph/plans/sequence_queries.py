@@ -8,21 +8,26 @@ from pyspark.sql import functions as F
 
 from .. import models
 from ..functions import boxes, text, vector
-from ..operators import catalog, graph, intent, resolve, spans, spell, vectors
+from ..operators import catalog, graph, intent, pivots, resolve, spans, spell, vectors
 from ..sources import proxies
 from ..sources.proxies import PAIRS_SQL, WITH, read
 from . import search
-from .catalogue_queries import CENTROIDS_SQL, DOT_SQL, NEAR, _normalized_sql, _part_terms, _query_vector, _six, _typos, query
+from .catalogue_queries import CENTROIDS_SQL, DOT_SQL, L2_SQL, NEAR, _normalized_sql, _part_terms, _query_vector, _six, _typos, query
 
 
-@query(f"""WITH RECURSIVE f AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings),
+def _lead_sql(rows: str, near: float) -> str:
+    """Leader clustering of rows (vec_id, e), one after the other."""
+    return f"""WITH RECURSIVE f AS MATERIALIZED (SELECT vec_id, e, row_number() OVER (ORDER BY vec_id) AS n FROM ({rows})),
 s AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[][]) AS c, CAST(NULL AS BIGINT) AS vec_id, CAST(NULL AS BIGINT) AS entity_id, CAST(NULL AS DOUBLE) AS distance
-UNION ALL SELECT n, CASE WHEN least <= {NEAR} THEN list_concat(c[1:best - 1], [list_transform(moved, lambda x: x / sqrt(list_sum(list_transform(moved, lambda y: y * y))))], c[best + 1:]) ELSE list_append(c, e) END,
-vec_id, CASE WHEN least <= {NEAR} THEN best ELSE len(c) + 1 END, CASE WHEN least <= {NEAR} THEN least ELSE 0 END
+UNION ALL SELECT n, CASE WHEN least <= {near} THEN list_concat(c[1:best - 1], [list_transform(moved, lambda x: x / sqrt(list_sum(list_transform(moved, lambda y: y * y))))], c[best + 1:]) ELSE list_append(c, e) END,
+vec_id, CASE WHEN least <= {near} THEN best ELSE len(c) + 1 END, CASE WHEN least <= {near} THEN least ELSE 0 END
 FROM (SELECT *, list_transform(list_zip(c[best], e), lambda z: 0.9 * z[1] + 0.1 * z[2]) AS moved
 FROM (SELECT *, coalesce(list_min(d), 1e9) AS least, CAST(list_position(d, list_min(d)) AS BIGINT) AS best
 FROM (SELECT f.n, s.c, f.vec_id, f.e, list_transform(s.c, lambda x: list_distance(x, f.e)) AS d FROM s JOIN f ON f.n = s.n + 1))))
-SELECT CAST(0 AS BIGINT) AS scope, vec_id, entity_id, round(distance, 6) AS distance FROM s WHERE vec_id IS NOT NULL""")
+SELECT CAST(0 AS BIGINT) AS scope, vec_id, entity_id, round(distance, 6) AS distance FROM s WHERE vec_id IS NOT NULL"""
+
+
+@query(_lead_sql("SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings", NEAR))
 def cluster_online(spark, d):
     return _six(vectors.cluster_online(read(spark, d, "embeddings"), near=NEAR, blurry=NEAR), "distance")
 
@@ -43,6 +48,46 @@ def merge_entities(spark, d):
     return vectors.merge_entities(weights, 1.15, scope="label")
 
 
+#: Vectors of people with eight pictures each: the first vector of eight, and a quarter of the picture's own.
+FACES_SQL = """SELECT vec_id, list_transform(m, lambda x: x / sqrt(list_sum(list_transform(m, lambda y: y * y)))) AS e FROM
+(SELECT x.vec_id, list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])), lambda z: z[1] + 0.25 * z[2]) AS m FROM embeddings x JOIN embeddings a ON a.vec_id = x.vec_id - x.vec_id % 8)"""
+
+
+def _faces(spark, d):
+    rows = read(spark, d, "embeddings").select("vec_id", "embedding")
+    first = rows.select(F.col("vec_id").alias("of"), F.col("embedding").alias("a"))
+    drawn = F.zip_with("a", "embedding", lambda x, y: x.cast("double") + 0.25 * y.cast("double"))
+    return rows.join(first, F.col("of") == F.col("vec_id") - F.col("vec_id") % 8).select("vec_id", vector.unit(drawn).alias("embedding"))
+
+
+@query(_lead_sql(FACES_SQL, 0.6))
+def cluster_in_rounds(spark, d):
+    """Leader clustering of people's pictures, many tasks a round."""
+    return _six(vectors.cluster_online(_faces(spark, d), most=256), "distance")
+
+
+@query(f"""WITH RECURSIVE f AS MATERIALIZED (SELECT vec_id, e, CAST(greatest(vec_id % 97, 1) AS DOUBLE) AS w, row_number() OVER (ORDER BY vec_id % 97 DESC, vec_id) AS n FROM ({FACES_SQL})),
+s AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[][]) AS c, CAST([] AS DOUBLE[]) AS ws, CAST([] AS BIGINT[]) AS ids, CAST(NULL AS BIGINT) AS merged_id, CAST(NULL AS BIGINT) AS keeper_id
+UNION ALL SELECT n, CASE WHEN hit > 0 THEN list_concat(c[1:hit - 1], [list_transform(mean, lambda x: x / sqrt(list_sum(list_transform(mean, lambda y: y * y))))], c[hit + 1:]) ELSE list_append(c, e) END,
+CASE WHEN hit > 0 THEN list_concat(ws[1:hit - 1], [ws[hit] + w], ws[hit + 1:]) ELSE list_append(ws, w) END, CASE WHEN hit > 0 THEN ids ELSE list_append(ids, vec_id) END, CASE WHEN hit > 0 THEN vec_id END, CASE WHEN hit > 0 THEN ids[hit] END
+FROM (SELECT *, list_transform(list_zip(c[hit], e), lambda z: (z[1] * ws[hit] + z[2] * w) / (ws[hit] + w)) AS mean
+FROM (SELECT f.*, s.c, s.ws, s.ids, coalesce(list_position(list_transform(s.c, lambda x: list_distance(x, f.e) <= 0.6), true), 0) AS hit FROM s JOIN f ON f.n = s.n + 1)))
+SELECT merged_id, keeper_id FROM s WHERE merged_id IS NOT NULL""")
+def merge_in_rounds(spark, d):
+    """Each picture a person of its own, merged greedily, many tasks a round."""
+    people = _faces(spark, d).select(F.col("vec_id").alias("entity_id"), "embedding", (F.col("vec_id") % 97).alias("sample_count"))
+    return vectors.merge_entities(people, 0.6, most=256)
+
+
+@query(f"""SELECT query_id, vec_id, distance FROM (SELECT q.vec_id AS query_id, x.vec_id, {L2_SQL.format(a='x.embedding', b='q.embedding')} AS distance,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY {L2_SQL.format(a='x.embedding', b='q.embedding')}, x.vec_id) AS n FROM embeddings x, embeddings q WHERE q.vec_id % 20 = 0) WHERE n <= 5""")
+def knn_join_pivots(spark, d):
+    """The five nearest of all vectors to every twentieth, both sides joined by pivots."""
+    rows = read(spark, d, "embeddings")
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _six(pivots.knn_by_pivots(rows, asked, 5), "distance")
+
+
 BOXES_SQL = WITH + """, b AS (SELECT file_id, list({'conf': det_score, 'i': CAST(bbox_h / 30 AS INTEGER), 'x': CAST(bbox_w % 40 AS DOUBLE), 'y': CAST(bbox_h % 50 AS DOUBLE), 'w': CAST(bbox_w + 20 AS DOUBLE), 'h': CAST(bbox_h + 20 AS DOUBLE)}
 ORDER BY det_score DESC, bbox_h, bbox_w % 40, bbox_w) AS all_boxes FROM detections GROUP BY 1)"""
 
