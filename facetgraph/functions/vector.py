@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,10 +28,15 @@ def norm(a: Column) -> Column:
     return F.sqrt(_sum(F.transform(a, lambda x: _double(x) * _double(x))))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once: within the functions of arrays an expression is computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit(a: Column) -> Column:
     """a at length 1; a zero vector stays as it is."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: _double(x) / n)).otherwise(F.transform(a, _double))
+    divided = lambda v, n: F.when(n > 0, F.transform(v, lambda x: _double(x) / n)).otherwise(F.transform(v, _double))
+    return _once(a, lambda v: _once(norm(v), lambda n: divided(v, n)))
 
 
 def blend(old: Column, new: Column, alpha: float = 0.1) -> Column:

@@ -12,12 +12,17 @@ from pyspark.sql.window import Window
 from ..schemas import FILETYPES, STATUSES
 
 
-def insert_ignore(old: DataFrame, new: DataFrame) -> DataFrame:
-    """old and the valid rows of new whose abs_path is unknown, the least id of equal paths."""
+def new_files(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The valid rows of new whose abs_path old doesn't have, the least id of equal paths."""
     allowed = F.col("filetype").isin(*FILETYPES) & F.col("status").isin(*STATUSES) & F.col("abs_path").isNotNull()
     first = Window.partitionBy("abs_path").orderBy("id")
     fresh = new.filter(allowed).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    return old.unionByName(fresh.join(old.select("abs_path"), "abs_path", "left_anti").select(*old.columns))
+    return fresh.join(old.select("abs_path"), "abs_path", "left_anti").select(*old.columns)
+
+
+def insert_ignore(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old and the rows of new_files."""
+    return old.unionByName(new_files(old, new))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -85,14 +90,13 @@ def reset_faces(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 ID_GROUPS = 1024
 
 
-def append_detections(old: DataFrame, found: DataFrame, now: int) -> DataFrame:
-    """found (file_id, x, y, w, h, conf, crop_path) as detections without entity, with ids above the largest (K6).
+def new_detections(found: DataFrame, last: int, now: int) -> DataFrame:
+    """found (file_id, x, y, w, h, conf, crop_path) as detections without entity, with ids above last (K6).
 
     Ids are gapless and the same each time: files are hashed to ID_GROUPS groups, the
     groups' sizes alone reach the driver, and rows are numbered within their group.
     """
-    spark = old.sparkSession
-    last = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    spark = found.sparkSession
     grouped = found.withColumn("_g", F.pmod(F.xxhash64("file_id"), F.lit(ID_GROUPS)))
     starts, at = [], last
     for g in grouped.groupBy("_g").count().orderBy("_g").collect():
@@ -100,7 +104,7 @@ def append_detections(old: DataFrame, found: DataFrame, now: int) -> DataFrame:
         at += g["count"]
     first = F.broadcast(spark.createDataFrame(starts, "_g long, _first long"))
     order = Window.partitionBy("_g").orderBy("file_id", F.desc("conf"), "x", "y")
-    rows = grouped.withColumn("_k", F.row_number().over(order)).join(first, "_g").select(
+    return grouped.withColumn("_k", F.row_number().over(order)).join(first, "_g").select(
         (F.col("_first") + F.col("_k")).cast("long").alias("id"),
         "file_id",
         F.lit(None).cast("long").alias("entity_id"),
@@ -109,7 +113,11 @@ def append_detections(old: DataFrame, found: DataFrame, now: int) -> DataFrame:
         F.lit(now).cast("long").alias("created_at"),
         F.coalesce("crop_path", F.lit("")).alias("aligned_crop_path"),
     )
-    return old.unionByName(rows)
+
+
+def append_detections(old: DataFrame, found: DataFrame, now: int) -> DataFrame:
+    """old and new_detections of found, with ids above the largest of old."""
+    return old.unionByName(new_detections(found, old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"], now))
 
 
 def as_json(rows: DataFrame, order: list[str], decimals: int = 6) -> DataFrame:

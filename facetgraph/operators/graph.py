@@ -26,9 +26,12 @@ def edge_files(detections: DataFrame) -> DataFrame:
 def edges(detections: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """entity_a, entity_b, co_occurrence_count, and first and last time seen where files (id, mtime_unix) are given."""
     pairs = edge_files(detections)
+    return pairs.groupBy("entity_a", "entity_b").agg(F.count("*").alias("co_occurrence_count")) if files is None else edges_of(pairs, files)
+
+
+def edges_of(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """edges of pairs of edge_files, with times."""
     count = F.count("*").alias("co_occurrence_count")
-    if files is None:
-        return pairs.groupBy("entity_a", "entity_b").agg(count)
     timed = pairs.join(files.select(F.col("id").alias("file_id"), "mtime_unix"), "file_id")
     return timed.groupBy("entity_a", "entity_b").agg(count, F.min("mtime_unix").alias("first_seen_at"), F.max("mtime_unix").alias("last_seen_at"))
 

@@ -18,6 +18,20 @@ SCHEMAS = {
     "document_chunks": "id bigint, file_id bigint, chunk_index int, chunk_text string, created_at bigint",
     "document_vec": "chunk_id bigint, embedding array<float>",
 }
+#: The columns that tell a table's rows apart.
+KEYS = {
+    "files": ["id"],
+    "entities": ["entity_id"],
+    "face_detections": ["id"],
+    "entity_memberships": ["entity_id", "file_id"],
+    "entity_relations": ["entity_a", "entity_b"],
+    "entity_relation_files": ["entity_a", "entity_b", "file_id"],
+    "clip_vec": ["file_id"],
+    "person_centroids": ["entity_id"],
+    "face_vec": ["detection_id"],
+    "document_chunks": ["id"],
+    "document_vec": ["chunk_id"],
+}
 #: What a missing column is filled with.
 DEFAULTS = {"display_name": "", "face_count": 0, "status": "pending", "retry_count": 0, "confidence": 1.0, "sample_count": 0, "score": 1.0, "entity_type": "person"}
 #: Allowed values (fixed values).
