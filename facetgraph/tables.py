@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schemas import KEYS, SCHEMAS, empty, ensure_columns
@@ -67,14 +67,14 @@ class Catalogue:
         jvm, fs = self._fs()
         file = lambda x: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_pointers/{x}")
         number, folder = f"{1 + (self.version(name) if at is None else at):012d}", uuid.uuid4().hex
-        seen = Observation()
-        dealt = rows.withColumn("_bucket", bucket(name)).observe(seen, F.count(F.lit(1)).alias("n"))
+        dealt = rows.withColumn("_bucket", bucket(name))
         (dealt.repartition("_bucket") if kind == "base" else dealt).write.partitionBy("_bucket").parquet(f"{self.path}/{name}/{folder}")
+        count = self._read(name, f"{self.path}/{name}/{folder}", kind).count()
         try:
             fs.create(file(number), False).close()
         except Py4JJavaError as e:
             raise RuntimeError(f"{name} was changed meanwhile: read it again and repeat the change") from e
-        fs.create(file(f"{number}-{kind}.{seen.get['n']}.{folder}"), False).close()
+        fs.create(file(f"{number}-{kind}.{count}.{folder}"), False).close()
 
     def _read(self, name: str, folder: str, kind: str) -> DataFrame:
         more = "" if kind == "base" else ", _deleted boolean"
