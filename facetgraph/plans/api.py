@@ -96,7 +96,7 @@ class Engine(Catalogue):
         self.save("clip_vec", good.select(F.col("id").alias("file_id"), "embedding"))
         own = self.lookup("files", done)
         tried = catalog.set_status(own, done.filter(F.col("embedding").isNull()).select("id", F.lit("failed").alias("status")))
-        self.save("files", self._work(catalog.mark_indexed(tried, good.select("id"), now)))
+        self.save("files", catalog.mark_indexed(tried, good.select("id"), now))
         if faces is not None and pictures is not None:
             self.cluster_faces(now, late=False, merge=None, only=self.add_faces(pictures(good.select("id", "abs_path")), faces, now))
 
@@ -144,7 +144,7 @@ class Engine(Catalogue):
         given = step.filter(F.col("embedding").isNull() & F.col("entity_id").isNotNull()).select("id", "entity_id")
         # centroids that no face drew along stay as they are
         moved = step.filter(F.col("embedding").isNotNull()).join(given.select("entity_id").distinct(), "entity_id", "left_semi").select("entity_id", "embedding")
-        self.save("person_centroids", self._work(moved), at=at)
+        self.save("person_centroids", moved, at=at)
         self._join_people(given, now, graph_too)
         if late or merge is not None:
             self.finish_faces(now, loose if late else None, merge, graph_too)
@@ -156,6 +156,8 @@ class Engine(Catalogue):
 
     def _join_people(self, given: DataFrame, now: int, graph_too: bool) -> None:
         """Detections get the people of given (id, entity_id); people, memberships and the graph take them in."""
+        if not given.limit(1).count():
+            return
         at, people_at = self.version("face_detections"), self.version("entities")
         own = self.lookup("face_detections", given)
         joined = self._work(own.join(given.withColumnRenamed("entity_id", "_new"), "id").select(*[F.col("_new").alias(c) if c == "entity_id" else F.col(c) for c in own.columns]))
@@ -164,7 +166,7 @@ class Engine(Catalogue):
         grown = people.join(counts, "entity_id", "right").select("entity_id", *[c for c in people.columns if c not in ("entity_id", "sample_count", "created_at", "updated_at", "entity_type", "display_name", "confidence")],
             F.coalesce("entity_type", F.lit("person")).alias("entity_type"), F.coalesce("display_name", F.lit("")).alias("display_name"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
             (F.coalesce("sample_count", F.lit(0)) + F.col("n")).cast("int").alias("sample_count"), F.coalesce("created_at", F.lit(now)).alias("created_at"), F.lit(now).alias("updated_at"))
-        self.save("entities", self._work(grown), at=people_at)
+        self.save("entities", grown, at=people_at)
         self.save("face_detections", joined, at=at)
         self.save("entity_memberships", graph.memberships(joined).withColumn("score", F.lit(1.0)).withColumn("created_at", F.lit(now)))
         if graph_too:
@@ -178,11 +180,11 @@ class Engine(Catalogue):
         pairs = graph.edge_files(whole)
         fresh = self._work(pairs.join(self.lookup("entity_relation_files", pairs), ["entity_a", "entity_b", "file_id"], "left_anti"))
         files_at, files = self.version("files"), self.lookup("files", touched.withColumnRenamed("file_id", "id"))
-        added = graph.edges_of(fresh, files)
-        self.save("entity_relations", self._work(graph.merge_edges(self.lookup("entity_relations", added), added)), at=edges_at)
+        added = self._work(graph.edges_of(fresh, files))
+        self.save("entity_relations", graph.merge_edges(self.lookup("entity_relations", added), added), at=edges_at)
         self.save("entity_relation_files", fresh, at=at)
         counts = graph.face_counts(files, whole).withColumnRenamed("face_count", "n")
-        self.save("files", self._work(files.drop("face_count").join(counts, "id").withColumnRenamed("n", "face_count")), at=files_at)
+        self.save("files", files.drop("face_count").join(counts, "id").withColumnRenamed("n", "face_count"), at=files_at)
 
     def finish_faces(self, now: int, loose: float | None = 0.75, merge: float | None = 1.0, graph_too: bool = True) -> None:
         """At the end of a run: faces left over go to the nearest centroid (T2), then people that are close are merged."""
@@ -204,7 +206,7 @@ class Engine(Catalogue):
         old = self._work(self.table("entity_memberships").join(lost, "entity_id", "left_semi"))
         remapped = self._work(vectors.remap(moved, gone))
         self.save("person_centroids", kept.select("entity_id", "embedding"), lost, at["person_centroids"])
-        self.save("entities", self._work(grown), lost, at["entities"])
+        self.save("entities", grown, lost, at["entities"])
         self.save("face_detections", remapped, at=at["face_detections"])
         self.save("entity_memberships", graph.memberships(remapped).withColumn("score", F.lit(1.0)).withColumn("created_at", F.lit(now)), old, at["entity_memberships"])
         if graph_too:
@@ -217,7 +219,7 @@ class Engine(Catalogue):
         self.replace("entity_relation_files", graph.edge_files(found))
         counts = graph.face_counts(files, found).withColumnRenamed("face_count", "n")
         changed = files.join(counts, "id").filter(F.col("face_count") != F.col("n")).drop("face_count").withColumnRenamed("n", "face_count")
-        self.save("files", self._work(changed))
+        self.save("files", changed)
 
     def reset_face_data(self, now: int = 0, faces: Faces | None = None, pictures: Callable[[DataFrame], DataFrame] | None = None) -> None:
         """Forget all people, faces and crops; with faces, look for them again in all indexed pictures and cluster them.
