@@ -149,6 +149,13 @@ class Engine(Catalogue):
         if late or merge is not None:
             self.finish_faces(now, loose if late else None, merge, graph_too)
 
+    def take_in(self, faces: DataFrame, centroids: DataFrame, now: int) -> None:
+        """Faces (a detection's columns, embedding) that were clustered elsewhere, and the centroids that they moved (entity_id, embedding), as a stream hands them on."""
+        self.save("face_detections", faces.withColumn("entity_id", F.lit(None).cast("long")))
+        self.save("face_vec", faces.filter(F.col("embedding").isNotNull()).select(F.col("id").alias("detection_id"), "embedding"))
+        self.save("person_centroids", centroids.select("entity_id", "embedding"))
+        self._join_people(faces.filter(F.col("entity_id").isNotNull()).select("id", "entity_id"), now, True)
+
     def _with_vectors(self, found: DataFrame) -> DataFrame:
         """id, file_id, embedding, score of detections that have a vector."""
         own = self.lookup("face_vec", found.select(F.col("id").alias("detection_id")))

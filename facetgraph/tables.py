@@ -8,6 +8,8 @@ whole table. When the log has many layers they are made one; when it has grown t
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +31,7 @@ class Catalogue:
     """Tables of one folder. Where there is none yet, reads return empty tables."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self._step = spark, path.rstrip("/"), None
         # the folders of all buckets are listed by the driver, not by a job
         spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.threshold", str(4 * BUCKETS))
 
@@ -52,12 +54,12 @@ class Catalogue:
         found: list[tuple[str, int, str]] = []
         for pointer in self._pointers(name):
             if "-" in pointer:
-                kind, rows, folder = pointer.split("-", 1)[1].split(".")
+                kind, rows, folder = pointer.split("-", 1)[1].split(".")[:3]
                 found = [] if kind == "base" else found[:1] if kind == "log" else found
                 found.append((kind, int(rows), f"{self.path}/{name}/{folder}"))
         return found
 
-    def _write(self, name: str, kind: str, rows: DataFrame, at: int | None) -> None:
+    def _write(self, name: str, kind: str, rows: DataFrame, at: int | None, tag: str | None = None) -> None:
         """A new layer; its pointer is made last.
 
         The pointer's number is that after at, or after the newest one when writing begins, and is
@@ -74,7 +76,7 @@ class Catalogue:
             fs.create(file(number), False).close()
         except Py4JJavaError as e:
             raise RuntimeError(f"{name} was changed meanwhile: read it again and repeat the change") from e
-        fs.create(file(f"{number}-{kind}.{count}.{folder}"), False).close()
+        fs.create(file(f"{number}-{kind}.{count}.{folder}" + ("" if tag is None else f".{tag}")), False).close()
 
     def _read(self, name: str, folder: str, kind: str) -> DataFrame:
         more = "" if kind == "base" else ", _deleted boolean"
@@ -113,19 +115,36 @@ class Catalogue:
         wanted = [r[0] for r in own.select(bucket(name)).distinct().collect()]  # at most BUCKETS
         return self._merged(name, F.col("_bucket").isin(wanted)).join(own, KEYS[name], "left_semi") if wanted else empty(self.spark, name)
 
+    @contextmanager
+    def once(self, tag: str) -> Iterator[None]:
+        """Changes in here are numbered under tag; when they are made again after a failure, those that were written are skipped, whatever came of the others."""
+        self._step = (tag, 0)
+        try:
+            yield
+        finally:
+            self._step = None
+
     def replace(self, name: str, rows: DataFrame, at: int | None = None) -> None:
         """rows as the whole table. at: the version that they were made of, if another must not have come in between."""
         self._write(name, "base", ensure_columns(rows, name), at)
 
     def save(self, name: str, rows: DataFrame | None, gone: DataFrame | None = None, at: int | None = None) -> None:
-        """rows, one for each key, in place of those of the same key or beside the others; the keys of gone are deleted."""
+        """rows, one for each key, in place of those of the same key or beside the others; the keys of gone are deleted.
+
+        Within once(), a change that was made before is left out.
+        """
+        tag = None
+        if self._step is not None:
+            tag, self._step = f"{self._step[0]}_{self._step[1]}", (self._step[0], self._step[1] + 1)
+            if any(x.endswith(f".{tag}") for x in self._pointers(name)):
+                return
         if not self._layers(name):
-            self._write(name, "base", empty(self.spark, name) if rows is None else ensure_columns(rows, name), at)
+            self._write(name, "base", empty(self.spark, name) if rows is None else ensure_columns(rows, name), at, tag)
             return
         parts = [] if rows is None else [ensure_columns(rows, name).withColumn("_deleted", F.lit(False))]
         if gone is not None:
             parts.append(ensure_columns(gone.select(*KEYS[name]).distinct(), name).withColumn("_deleted", F.lit(True)))
-        self._write(name, "change", parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), at)
+        self._write(name, "change", parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), at, tag)
         found = self._layers(name)
         if len(found) <= LAYERS:
             return
