@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from ..functions import vector
 from ..storage import stored
 from .pivots import BLOCK_ROWS, PIVOTS, ROUNDING, best_rows, finite, is_finite, knn_by_pivots
-from .rounds import ENTITIES, MOST, Rule, in_rounds, named, ranked
+from .rounds import ENTITIES, MOST, Rule, in_rounds, named, ranked, replay
 
 #: Query vectors that one broadcast block holds; more are searched block by block.
 QUERY_BLOCK = 4096
@@ -353,22 +353,11 @@ def absorbed(rows: list[tuple], within: float = 1.0) -> tuple[list[tuple], list[
     out, left = [], []
     for size in sorted({len(r[1]) for r in rows if r[1] is not None}):
         own = [r for r in rows if r[1] is not None and len(r[1]) == size]
-        ids = [r[0] for r in own]
-        x = np.array([r[1] for r in own], np.float64)
-        w = np.array([max(r[2], 1) for r in own], np.float64)
-        gone = np.zeros(len(own), bool)
-        for i in range(len(own)):
-            if gone[i]:
-                continue
-            for j in range(i + 1, len(own)):
-                if not gone[j] and np.sqrt(((x[i] - x[j]) ** 2).sum()) <= within:
-                    gone[j] = True
-                    out.append((ids[j], ids[i]))
-                    mean = (x[i] * w[i] + x[j] * w[j]) / (w[i] + w[j])
-                    length = np.sqrt((mean**2).sum())
-                    x[i] = mean / length if length > 0 else mean
-                    w[i] += w[j]
-            left.append((ids[i], x[i].tolist(), int(w[i])))
+        n, nothing = len(own), (np.empty(0, np.int64), np.empty((0, size)), np.empty(0))
+        # going down, each is absorbed by the first keeper within reach, or becomes one
+        keeper, _, after = replay(np.arange(n), np.array([r[1] for r in own], np.float64), np.full(n, within), np.ones(n, bool), np.array([max(r[2], 1) for r in own], np.float64), nothing, Rule(False))
+        out += [(own[j][0], own[i][0]) for i, j in sorted((i, j) for j, i in enumerate(keeper) if i != j)]
+        left += [(own[i][0], v, int(w)) for i, v, w, _ in after]
     return out, left
 
 
@@ -396,7 +385,7 @@ def merge_step(centroids: DataFrame, within: float = 1.0, scope: str | None = No
     """entity_id, keeper_id, embedding, sample_count over centroids (entity_id, embedding, sample_count), greedily by sample_count.
 
     A merged entity has its keeper; one that is left has none, and its centroid and weight with all that it absorbed.
-    Scopes of at most most entities are merged by a task each, larger ones in rounds over many tasks, with the same
+    Scopes of at most four times most entities are merged by a task each, larger ones in rounds over many tasks, with the same
     result. Null vectors have no row, those of another dimension meet their like, and one with a component that isn't finite is left as it is.
     """
     rows = centroids.select((F.lit(0).cast("long") if scope is None else F.col(scope).cast("long")).alias("_scope"), F.col("entity_id").cast("long"), "embedding", F.col("sample_count").cast("long")).filter(F.col("embedding").isNotNull())
@@ -411,7 +400,7 @@ def merge_step(centroids: DataFrame, within: float = 1.0, scope: str | None = No
         })
 
     # as many at most as entities make scopes of more than most
-    long = [r["_scope"] for r in rows.groupBy("_scope").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("_scope").collect()]
+    long = [r["_scope"] for r in rows.groupBy("_scope").agg(F.count("*").alias("n")).filter(F.col("n") > ENTITIES * most).select("_scope").collect()]
     of_long = lambda s: F.col("_scope").eqNullSafe(F.lit(s).cast("long"))
     apart = [_merge_apart(rows.filter(of_long(s)), within, most) for s in long]
     for s in long:

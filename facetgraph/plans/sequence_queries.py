@@ -76,7 +76,7 @@ SELECT merged_id, keeper_id FROM s WHERE merged_id IS NOT NULL""")
 def merge_in_rounds(spark, d):
     """Each picture a person of its own, merged greedily, many tasks a round."""
     people = _faces(spark, d).select(F.col("vec_id").alias("entity_id"), "embedding", (F.col("vec_id") % 97).alias("sample_count"))
-    return vectors.merge_entities(people, 0.6, most=256)
+    return vectors.merge_entities(people, 0.6, most=100)
 
 
 @query(f"""SELECT query_id, vec_id, distance FROM (SELECT q.vec_id AS query_id, x.vec_id, {L2_SQL.format(a='x.embedding', b='q.embedding')} AS distance,
