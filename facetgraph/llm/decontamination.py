@@ -248,6 +248,12 @@ def joined(docs: DataFrame, items: DataFrame) -> DataFrame:
     return known.select("doc_id", "text_hash", "n_words", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def fits(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> bool:
+    """Whether items (item, text) are few and short enough to be broadcast."""
+    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item")).alias("n"), F.count("*").alias("rows")).first()
+    return (size["n"] or 0) + 64 * size["rows"] <= block_bytes
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids as strings) for each row of docs (doc_id, text).
 
@@ -260,8 +266,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     items = named_items(benchmark)
-    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item")).alias("n"), F.count("*").alias("rows")).first()
-    if (size["n"] or 0) + 64 * size["rows"] <= block_bytes:
+    if fits(items, block_bytes):
         found = probe(docs, [(r["item"], r["text"]) for r in items.collect()])  # at most block_bytes
     else:
         found = joined(docs, items)
@@ -274,6 +279,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     return found.select("doc_id", "n_words", "spans", "items").mapInArrow(digest, f"doc_id {kind}, n_words long, n_hit long, items array<string>")
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """The rows of docs (text and any other columns) that aren't contaminated, whole, where the benchmark is broadcast, else None.
+
+    The row goes through the search as its own id, so no text is shuffled.
+    """
+    if not fits(named_items(benchmark)):
+        return None
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    found = contamination(docs.select(whole.alias("doc_id"), "text"), benchmark)
+    return found.filter(~contaminated()).select(*[F.col(f"doc_id.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def contaminated() -> Column:
     """A row of contamination() with a hit that covers a twentieth of its words or more."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))

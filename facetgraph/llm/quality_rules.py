@@ -206,11 +206,30 @@ def judged(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     null doc_id is kept; repeated rows are repeated; an empty table gives an empty
     result. Other columns of docs are ignored.
     """
-    found = rules()
-    pattern = sum((v * 3**j for j, v in enumerate(found.values())), F.lit(0)).cast("int")
-    counted = stored(statistics(docs.select("doc_id", "text")).drop("text").withColumn("pattern", pattern), "quality-counts")
-    patterns = stored(counted.groupBy("pattern").agg(F.count("*").alias("n")).coalesce(1), "vote-patterns")
-    model = fit(patterns, list(found))
-    votes = F.struct(*[vote_of(F.col("pattern"), j).cast("int").alias(name) for j, name in enumerate(found)])
+    counted = stored(statistics(docs.select("doc_id", "text")).drop("text").withColumn("pattern", _pattern()), "quality-counts")
+    model = _model(counted)
+    votes = F.struct(*[vote_of(F.col("pattern"), j).cast("int").alias(name) for j, name in enumerate(rules())])
     good = model.posterior(F.col("pattern"))
     return counted.select("doc_id", *COUNTS, votes.alias("votes"), good.alias("good"), base_failed().alias("base_failed"), (~base_failed() & (good >= keep)).alias("kept"))
+
+
+def _pattern() -> Column:
+    return sum((v * 3**j for j, v in enumerate(rules().values())), F.lit(0)).cast("int")
+
+
+def _model(counted: DataFrame) -> LabelModel:
+    """The label model of counted (pattern)."""
+    patterns = stored(counted.groupBy("pattern").agg(F.count("*").alias("n")).coalesce(1), "vote-patterns")
+    return fit(patterns, list(rules()))
+
+
+def kept_rows(docs: DataFrame, keep: float = KEEP) -> DataFrame:
+    """The rows of docs (doc_id, text and any other columns) that judged() keeps, whole.
+
+    Rows are written with their votes and filtered where they lie, so no text is shuffled. Nulls, repeated rows and empty tables as for judged().
+    """
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    counted = statistics(docs.select(whole.alias("_row"), "text"))
+    voted = stored(counted.select("_row", _pattern().alias("pattern"), base_failed().alias("base_failed")), "voted-rows")
+    good = _model(voted).posterior(F.col("pattern"))
+    return voted.filter(~F.col("base_failed") & (good >= keep)).select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -133,10 +133,18 @@ def scan(versions: DataFrame, ledger_path: str | None = None, rules: tuple[Rule,
     named = stored(versions.select(F.col(key).alias("path"), blob_of(text).alias("blob")), "paths")
     due = unseen(named, open_ledger(spark, ledger_path), rules)
     # one path stands for each new blob; its text is fetched by path, so copies are spread
-    chosen = named.groupBy("blob").agg(F.min("path").alias("path")).join(due, "blob").withColumnRenamed("path", "chosen")
+    paths = named.groupBy("blob", "path").agg(F.count("*").alias("n")).groupBy("blob").agg(F.min(F.struct("path", "n")).alias("one"))
+    chosen = stored(paths.join(due, "blob").select("blob", "due", F.col("one.path").alias("chosen"), (F.col("one.n") > 1).alias("repeated")), "due")
     texts = versions.select(F.col(key).alias("path"), text.alias("text"), blob_of(text).alias("here"))
-    fetched = texts.join(chosen.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("chosen")) & (F.col("here") == F.col("blob"))).select("blob", "text", "due")
-    scan_blobs(fetched, rules).write.mode("append").parquet(ledger_path)
+
+    def fetched(some: DataFrame) -> DataFrame:
+        return texts.join(some.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("chosen")) & (F.col("here") == F.col("blob"))).select("blob", "text", "due")
+
+    new = fetched(chosen.filter("NOT repeated"))
+    # rows equal in path and text are one blob: few, and looked for again only where there are any
+    if chosen.filter("repeated").limit(1).count():
+        new = new.unionByName(fetched(chosen.filter("repeated")).groupBy("blob").agg(F.first("text").alias("text"), F.first("due").alias("due")))
+    scan_blobs(new, rules).write.mode("append").parquet(ledger_path)
     found = findings_of(open_ledger(spark, ledger_path), rules)
     return named.join(found, "blob", "left").select(F.col("path").alias(key), "blob", F.coalesce("findings", none()).alias("findings"))
 
