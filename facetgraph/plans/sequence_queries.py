@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import models
 from ..functions import boxes, text, vector
-from ..operators import catalog, graph, intent, pivots, resolve, spans, spell, vectors
+from ..operators import catalog, graph, intent, pivots, postings, resolve, spans, spell, vectors
 from ..sources import proxies
 from ..sources.proxies import PAIRS_SQL, WITH, read
 from . import search
@@ -205,6 +205,17 @@ def intent_combinations(spark, d):
     return read(spark, d, "orders").select(k.alias("id"), intent.intent(F.concat_ws(" ", *parts)).alias("intent"))
 
 
+@query(WITH + """, q AS (SELECT s_suppkey AS query_id, unnest(list_distinct([s_suppkey, (s_suppkey * 7 + 3) % 90, (s_suppkey * 11 + 5) % 120][1:s_suppkey % 3 + 1])) AS entity_id FROM supplier),
+n AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1)
+SELECT query_id, file_id FROM (SELECT query_id, file_id, count(DISTINCT entity_id) AS hit FROM q JOIN members USING (entity_id) GROUP BY 1, 2) JOIN n USING (query_id) WHERE hit = n""")
+def posting_intersections(spark, d):
+    """One, two or three entities of every supplier's query, intersected by their posting lists; some have no list."""
+    k = F.col("s_suppkey").cast("long")
+    ids = F.slice(F.array(k, (k * 7 + 3) % 90, (k * 11 + 5) % 120), F.lit(1), (k % 3 + 1).cast("int"))
+    asked = read(spark, d, "supplier").select(k.alias("query_id"), ids.alias("ids"))
+    return postings.intersect(asked, postings.postings(proxies.members(spark, d)))
+
+
 @query(WITH + "," + PAIRS_SQL + " SELECT file_id FROM pair_files WHERE entity_a = 1 AND entity_b = 2")
 def pair_table_candidates(spark, d):
     return graph.candidates(proxies.members(spark, d), [2, 1], graph.edge_files(proxies.detections(spark, d)))
