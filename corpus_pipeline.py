@@ -48,6 +48,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each group that near_texts links: five-word shingles, Jaccard similarity 0.8 or more.
 
+    Candidates come from op6's index of SimHash fingerprints, and from MinHash bands where fingerprints of
+    near texts lie farther apart; whole shingle sets decide.
+
     One row of each group stays: that of the least doc_id, null ones last, and of its
     rows the one of the least text hash. Rows of one doc_id are told apart by text.
     """

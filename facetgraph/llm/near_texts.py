@@ -1,11 +1,13 @@
 """Near-duplicates by Jaccard similarity of word shingles.
 
 Two texts are linked where their whole sets of WIDTH-word shingles have a Jaccard
-similarity of LEAST or more. Candidates meet by MinHash: BANDS values of ROWS minima
-each, of which a pair at LEAST shares one with a chance of 1 - (1 - LEAST ** ROWS) **
-BANDS (all but 7 in a million; more alike, fewer missed). A 64-bit SimHash can't give
-these candidates: on sf0.1 9 of its bits differ in the median linked pair and 14 in
-the farthest, and no index by partitions of 64 bits is selective at that distance.
+similarity of LEAST or more. Candidates meet by SimHash: the sets' 64-bit fingerprints are
+linked by op6's pigeonhole index at TAU bits, and what a component of them holds is one
+bucket. That misses pairs near LEAST: on sf0.1 9 bits differ in the median linked pair and
+14 in the farthest, and no index by partitions of 64 bits is selective at that distance. So
+candidates meet by MinHash, too: BANDS values of ROWS minima each, of which a pair at LEAST
+shares one with a chance of 1 - (1 - LEAST ** ROWS) ** BANDS (all but 7 in a million; more
+alike, fewer missed). Each candidate is verified on whole sets, whichever way it came.
 
 Texts of one set are one node. Bands of one member are dropped before any text moves,
 and bands of the same members are one bucket. Within a bucket a search over the sets
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import blob_of_text, partitions, row_key, small_batches, stored, whole_text
 from .components import components
-from .simhash import SEED, shingles
+from .simhash import SEED, majority, shingles
+from .simhash import links as bit_links
 
 WIDTH = 5
 LEAST = 0.8
@@ -44,6 +47,11 @@ def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.frombuffer(raw, np.uint64))
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """SimHash of a set: the bits that over half of its hashes have."""
+    return majority((own[at : at + (1 << 16)].view(np.uint8) for at in range(0, len(own), 1 << 16)), len(own))
+
+
 def bands(own: np.ndarray) -> np.ndarray:
     """One hash for each band of a set; none for an empty set."""
     if not len(own):
@@ -56,7 +64,7 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """key, same (the set's hash), size and bands for each row of docs."""
+    """key, same (the set's hash), size, fp (its fingerprint) and bands for each row of docs."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,14 +72,23 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
             same = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             sizes = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same), pa.array(sizes), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["key", "same", "size", "bands"])
+            fps = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same), pa.array(sizes), pa.array(fps), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["key", "same", "size", "fp", "bands"])
 
     rows = docs.select(row_key().alias("key"), whole_text().alias("text"))
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, same long, size long, bands array<bigint>")
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, same long, size long, fp long, bands array<bigint>")
+
+
+def alike(nodes: DataFrame) -> DataFrame:
+    """band, same: the component of each node's fingerprint over links of few bits, found by op6's index; sets without shingles have none."""
+    own = nodes.filter("size > 0").select("fp", "same")
+    fps = stored(own.select("fp").distinct(), "set-fingerprints")
+    roots = components(bit_links(fps))
+    return own.join(roots, own["fp"] == roots["node"], "left").select(F.xxhash64(F.coalesce("root", "fp"), F.lit("fingerprint")).alias("band"), "same")
 
 
 def meetings(nodes: DataFrame) -> DataFrame:
-    """bucket, same: the members of each band of two or more, bands of the same members once."""
+    """bucket, same: the members of each band or component of fingerprints of two or more, those of the same members once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty((0, 2), np.int64)]
@@ -102,7 +119,7 @@ def meetings(nodes: DataFrame) -> DataFrame:
         if len(table):
             yield from found(table)
 
-    entered = nodes.select(F.explode("bands").alias("band"), "same")
+    entered = alike(nodes).unionByName(nodes.select(F.explode("bands").alias("band"), "same"))
     dealt = entered.repartition(partitions(nodes.sparkSession), "band").sortWithinPartitions("band", "same")
     return dealt.mapInArrow(run, "bucket long, same long").distinct()
 
@@ -135,7 +152,7 @@ def forest(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]
 
 
 def links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, least: float = LEAST, held: int = HELD) -> DataFrame:
-    """a, b: edges that connect the nodes (same, size, bands, first: the key of one row) of which the whole sets are near."""
+    """a, b: edges that connect the nodes (same, size, fp, bands, first: the key of one row) of which the whole sets are near."""
     met = stored(meetings(nodes), "meetings")
     wanted = met.select("same").distinct().join(nodes.select("same", "first"), "same").select("same", F.col("first.doc_id").alias("id"), F.col("first.blob").alias("blob"))
     texts = docs.select("doc_id", whole_text().alias("text"), blob_of_text().alias("here"))
@@ -172,7 +189,7 @@ def firsts(docs: DataFrame, width: int = WIDTH, least: float = LEAST, held: int
     gives an empty result; other columns are ignored.
     """
     rows = stored(signatures(docs, width), "signatures")
-    nodes = stored(rows.groupBy("same").agg(F.min("key").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    nodes = stored(rows.groupBy("same").agg(F.min("key").alias("first"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     roots = components(links(docs, nodes, width, least, held))
     named = nodes.join(roots, nodes["same"] == roots["node"], "left").select("first", F.coalesce("root", "same").alias("root"))
     return named.groupBy("root").agg(F.min("first").alias("key")).select("key.doc_id", "key.blob")

@@ -15,7 +15,7 @@ pairs of chunks. Components of the edges are found without collecting them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -50,18 +50,21 @@ def shingles(text: str, width: int = SHINGLE) -> list[bytes]:
     return [b" ".join(x) for x in zip(*(words[i:] for i in range(width)), strict=False)]
 
 
+def majority(parts: Iterable[np.ndarray], n: int) -> int:
+    """The bits that over half of n hashes have, given as bytes, eight for each; none for no hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for raw in parts:
+        ones += np.unpackbits(raw.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+
+
 def fingerprint(text: str, width: int = SHINGLE) -> int:
     """64-bit majority of the shingles' XXH64 (seed 42); no words give zero."""
     import xxhash
 
-    found = shingles(text, width)
-    if not found:
-        return 0
-    digest, ones = xxhash.xxh64_digest, np.zeros(BITS, np.int64)
-    for at in range(0, len(found), 1 << 16):
-        raw = np.frombuffer(b"".join([digest(s, SEED) for s in found[at : at + (1 << 16)]]), np.uint8)
-        ones += np.unpackbits(raw.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(found)).tobytes(), "big")
+    found, digest = shingles(text, width), xxhash.xxh64_digest
+    parts = (np.frombuffer(b"".join([digest(s, SEED) for s in found[at : at + (1 << 16)]]), np.uint8) for at in range(0, len(found), 1 << 16))
+    return majority(parts, len(found))
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:

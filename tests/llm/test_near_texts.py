@@ -75,3 +75,14 @@ def test_stage_drops_what_is_near_by_shingles_and_far_by_bits(spark):
 def test_forest_is_exact_at_the_threshold():
     sets = [np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64), np.arange(3, 12, dtype=np.uint64)]
     assert near_texts.forest(sets, 0.8) == [(0, 1)] and near_texts.forest(sets, 0.81) == []
+
+
+def test_fingerprints_alone_bring_near_texts_together(spark, monkeypatch):
+    words = [f"w{i}" for i in range(1500)]
+    near = [*words[:-1], "other"]
+    far = [f"v{i}" for i in range(1500)]
+    sets = [near_texts.shingle_set(" ".join(x)) for x in (words, near)]
+    assert 0 < bin(near_texts.fingerprint(sets[0]) ^ near_texts.fingerprint(sets[1])).count("1") <= 4
+    monkeypatch.setattr(near_texts, "bands", lambda own: np.empty(0, np.int64))  # no MinHash
+    docs = table(spark, [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, ""), (5, None)])
+    assert {r.doc_id for r in near_texts.firsts(docs).collect()} == {1, 3, 4}
