@@ -214,7 +214,8 @@ def posting_intersections(spark, d):
     k = F.col("s_suppkey").cast("long")
     ids = F.slice(F.array(k, (k * 7 + 3) % 90, (k * 11 + 5) % 120), F.lit(1), (k % 3 + 1).cast("int"))
     asked = read(spark, d, "supplier").select(k.alias("query_id"), ids.alias("ids"))
-    return postings.intersect(asked, postings.postings(proxies.members(spark, d)))
+    members = proxies.members(spark, d)  # a row of lineitem each, at most
+    return postings.intersect(asked, stored(postings.postings(members, read(spark, d, "lineitem").count()), "lists"))
 
 
 @query(WITH + "," + PAIRS_SQL + " SELECT file_id FROM pair_files WHERE entity_a = 1 AND entity_b = 2")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import tasks
+
 FILES_SQL = """
   SELECT o_orderkey AS id, '/o/' || o_orderkey || '.jpg' AS abs_path, 'o' || o_orderkey || '.jpg' AS display_name,
          CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'picture' WHEN '2' THEN 'picture' WHEN '3' THEN 'video' WHEN '4' THEN 'audio' ELSE 'document' END AS filetype,
@@ -74,8 +76,10 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each entity and file; dealt out by the number of rows, so that no task holds more of them where the table is larger."""
     li = read(spark, sf_dir, "lineitem")
-    return li.groupBy(F.col("l_suppkey").alias("entity_id"), F.col("l_orderkey").alias("file_id")).agg((1 - F.max("l_discount")).alias("score"))
+    dealt = li.select("l_suppkey", "l_orderkey", "l_discount").repartition(tasks(spark, li.count()), "l_suppkey", "l_orderkey")
+    return dealt.groupBy(F.col("l_suppkey").alias("entity_id"), F.col("l_orderkey").alias("file_id")).agg((1 - F.max("l_discount")).alias("score"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

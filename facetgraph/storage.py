@@ -59,6 +59,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task takes, about, where a table is dealt by its size.
+TASK_ROWS = 500_000
+
+
+def tasks(spark: SparkSession, rows: int, each: int = TASK_ROWS) -> int:
+    """Parts that so many rows are dealt to: as many as the session's shuffles have, and more where a part would have more than each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 def discard(df: DataFrame) -> None:
     """Remove what ``stored`` wrote, once nothing reads it any more."""
     jvm = df.sparkSession.sparkContext._jvm

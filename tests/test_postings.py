@@ -2,6 +2,7 @@
 
 import random
 
+from facetgraph import storage
 from facetgraph.operators import postings
 
 
@@ -25,3 +26,17 @@ def test_intersections_are_those_of_sets(spark, tmp_path):
     few = postings.read_postings(spark, path, queries.filter("query_id = 93"))
     assert {r.entity_id for r in few.collect()} == {2} and "PartitionFilters: [isnotnull(bucket" in few._jdf.queryExecution().toString() or "bucket" in few._jdf.queryExecution().toString().split("PartitionFilters")[1][:60]
     assert postings.intersect(queries, postings.postings(members.limit(0))).count() == 0
+
+
+def test_lists_are_no_larger_than_their_files(spark):
+    rows = [(e, f) for e in range(20) for f in range(e, 1_000_000, 10_000)] + [(50, f) for f in range(40_000)]
+    lists = postings.postings(spark.createDataFrame(rows, "entity_id long, file_id long")).collect()
+    assert all(len(r.bits) == min(2 * r.n, postings.RANGE // 8) for r in lists)
+    assert sorted((r.entity_id, int(x) + r.range * postings.RANGE) for r in lists for x in postings.places(r.bits)) == sorted(rows)
+
+
+def test_members_and_lists_are_dealt_by_their_size(spark):
+    members = spark.range(40).selectExpr('id % 4 AS entity_id', 'id AS file_id')
+    found = postings.postings(members, 7 * storage.TASK_ROWS + 1)
+    assert found.rdd.getNumPartitions() == 8 and sum(r.n for r in found.collect()) == 40
+    assert storage.tasks(spark, 10) == 2 and storage.tasks(spark, 7 * storage.TASK_ROWS + 1) == 8
