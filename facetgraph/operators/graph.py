@@ -2,56 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import tasks
+
 
 def memberships(detections: DataFrame) -> DataFrame:
     """Distinct entity_id, file_id of detections that have an entity."""
     return detections.filter(F.col("entity_id").isNotNull()).select("entity_id", "file_id").distinct()
 
 
+def _together(detections: DataFrame, parts: int) -> DataFrame:
+    """file_id, es: the sorted entities of each file that has two or more."""
+    named = detections.filter(F.col("entity_id").isNotNull()).select("file_id", "entity_id").repartition(parts, "file_id")
+    return named.groupBy("file_id").agg(F.array_sort(F.collect_set("entity_id")).alias("es")).filter(F.size("es") > 1)
+
+
+def _paired(sets: DataFrame, *keep: str) -> DataFrame:
+    firsts = sets.select("file_id", *keep, "es", F.posexplode("es").alias("i", "entity_a"))
+    return firsts.select("entity_a", F.explode(F.slice("es", F.col("i") + 2, F.size("es"))).alias("entity_b"), "file_id", *keep)
+
+
+def parts_of(detections: DataFrame) -> int:
+    """Parts that detections, and what is made of them, are dealt to: a task has about as many rows however large the table is."""
+    return tasks(detections.sparkSession, detections.count())
+
+
 def edge_files(detections: DataFrame) -> DataFrame:
     """entity_a < entity_b, file_id: all pairs of entities within a file.
 
     The pairs come out of each file's own array of entities, so files aren't joined
     with themselves: one shuffle by file.
     """
-    sets = detections.filter(F.col("entity_id").isNotNull()).groupBy("file_id").agg(F.array_sort(F.collect_set("entity_id")).alias("es")).filter(F.size("es") > 1)
-    firsts = sets.select("file_id", "es", F.posexplode("es").alias("i", "entity_a"))
-    return firsts.select("entity_a", F.explode(F.slice("es", F.col("i") + 2, F.size("es"))).alias("entity_b"), "file_id")
+    return _paired(_together(detections, parts_of(detections)))
 
 
 def edges(detections: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """entity_a, entity_b, co_occurrence_count, and first and last time seen where files (id, mtime_unix) are given."""
-    pairs = edge_files(detections)
-    return pairs.groupBy("entity_a", "entity_b").agg(F.count("*").alias("co_occurrence_count")) if files is None else edges_of(pairs, files)
+    """entity_a, entity_b, co_occurrence_count, and first and last time seen where files (id, mtime_unix) are given.
+
+    A file's time is joined to its entities, before they are paired.
+    """
+    parts = parts_of(detections)
+    sets = _together(detections, parts)
+    if files is None:
+        return _counted(_paired(sets), parts)
+    times = files.select(F.col("id").alias("file_id"), "mtime_unix").repartition(parts, "file_id")
+    return _counted(_paired(sets.join(times, "file_id"), "mtime_unix"), parts, *_times())
+
+
+def _times() -> tuple[Column, Column]:
+    return F.min("mtime_unix").alias("first_seen_at"), F.max("mtime_unix").alias("last_seen_at")
+
+
+def _counted(pairs: DataFrame, parts: int, *more: Column) -> DataFrame:
+    return pairs.drop("file_id").repartition(parts, "entity_a", "entity_b").groupBy("entity_a", "entity_b").agg(F.count("*").alias("co_occurrence_count"), *more)
 
 
 def edges_of(pairs: DataFrame, files: DataFrame) -> DataFrame:
     """edges of pairs of edge_files, with times."""
-    count = F.count("*").alias("co_occurrence_count")
     timed = pairs.join(files.select(F.col("id").alias("file_id"), "mtime_unix"), "file_id")
-    return timed.groupBy("entity_a", "entity_b").agg(count, F.min("mtime_unix").alias("first_seen_at"), F.max("mtime_unix").alias("last_seen_at"))
+    return timed.groupBy("entity_a", "entity_b").agg(F.count("*").alias("co_occurrence_count"), *_times())
 
 
-def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Edge tables added up: counts, the first and the last time seen (the upsert of K10)."""
-    return old.unionByName(new).groupBy("entity_a", "entity_b").agg(F.sum("co_occurrence_count").alias("co_occurrence_count"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
+def merge_edges(old: DataFrame, new: DataFrame, parts: int | None = None) -> DataFrame:
+    """Edge tables added up: counts, the first and the last time seen (the upsert of K10); dealt to parts, if they are given."""
+    both = old.unionByName(new)
+    both = both if parts is None else both.repartition(parts, "entity_a", "entity_b")
+    return both.groupBy("entity_a", "entity_b").agg(F.sum("co_occurrence_count").alias("co_occurrence_count"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
 
 
-def neighbours(edges: DataFrame, entities: DataFrame, entity_id: int | None = None, limit: int = 20) -> DataFrame:
+def neighbours(edges: DataFrame, entities: DataFrame, entity_id: int | None = None, limit: int = 20, parts: int | None = None) -> DataFrame:
     """entity_id, neighbor_id, display_name, co_occurrence_count: each entity's most frequent companions.
 
     Both directions of an edge are equi-joined; the best limit of an entity are kept
-    before the names are fetched.
+    before the names are fetched. Entities are dealt to parts, if they are given.
     """
     there = edges.select(F.col("entity_a").alias("entity_id"), F.col("entity_b").alias("neighbor_id"), "co_occurrence_count")
     back = edges.select(F.col("entity_b").alias("entity_id"), F.col("entity_a").alias("neighbor_id"), "co_occurrence_count")
     both = there.unionByName(back)
     if entity_id is not None:
         both = both.filter(F.col("entity_id") == entity_id)
+    both = both if parts is None else both.repartition(parts, "entity_id")
     order = Window.partitionBy("entity_id").orderBy(F.desc("co_occurrence_count"), "neighbor_id")
     best = both.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= limit).drop("nth")
     names = entities.select(F.col("entity_id").alias("neighbor_id"), F.coalesce("display_name", F.lit("")).alias("display_name"))
