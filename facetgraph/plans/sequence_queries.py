@@ -237,7 +237,7 @@ def no_common_files(spark, d):
 FROM pair_files JOIN files ON file_id = id GROUP BY 1, 2""")
 def merged_edges(spark, d):
     found, files = proxies.detections(spark, d), proxies.files(spark, d)
-    return graph.merge_edges(graph.edges(found.filter("file_id % 2 = 0"), files), graph.edges(found.filter("file_id % 2 = 1"), files))
+    return graph.merge_edges(graph.edges(found.filter("file_id % 2 = 0"), files), graph.edges(found.filter("file_id % 2 = 1"), files), graph.parts_of(found))
 
 
 @query("""WITH cells AS (SELECT label, vec_id % 5 + 1 AS w, unnest(range(1, 65)) AS place, unnest(embedding)::DOUBLE AS x FROM embeddings),
