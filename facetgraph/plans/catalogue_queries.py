@@ -191,7 +191,8 @@ b AS (SELECT entity_a AS entity_id, entity_b AS neighbor_id, c FROM e UNION ALL
 r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY c DESC, neighbor_id) AS n FROM b)
 SELECT r.entity_id, neighbor_id, display_name, c AS co_occurrence_count FROM r JOIN entities ON entities.entity_id = neighbor_id WHERE n <= 20""")
 def entity_neighbors(spark, d):
-    return graph.neighbours(graph.edges(proxies.detections(spark, d)), proxies.entities(spark, d))
+    found = proxies.detections(spark, d)
+    return graph.neighbours(graph.edges(found), proxies.entities(spark, d), parts=graph.parts_of(found))
 
 
 @query(WITH + "," + PAIRS_SQL + """ SELECT entity_a, entity_b, count(*) AS co_occurrence_count, min(mtime_unix) AS first_seen_at, max(mtime_unix) AS last_seen_at
