@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vector
-from ..storage import stored
-from .pivots import BLOCK_ROWS, PIVOTS, ROUNDING, best_rows, finite, is_finite, knn_by_pivots
+from ..storage import stored, tasks
+from .pivots import BLOCK_ROWS, PIVOTS, ROUNDING, best_rows, distances, finite, is_finite, knn_by_pivots, matrix, most_common_size
 from .rounds import ENTITIES, MOST, Rule, in_rounds, named, ranked, replay
 
 #: Query vectors that one broadcast block holds; more are searched block by block.
@@ -81,65 +81,86 @@ def _rows_of(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(keep, np.int64), np.array([lists[i] for i in keep], np.float64).reshape(len(keep), size)
 
 
-def similar_pairs(vectors: DataFrame, within: float, key: str = "vec_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """a < b and distance of all pairs at most within apart.
-
-    Rows belong to the nearest of a bounded number of pivots. By the triangle inequality
-    a row with a partner at another pivot is at most 2 * within farther from that pivot
-    than from its own; so it visits, of the pivots before its own, only those, and every
-    pair meets once. A pivot's rows are dealt to chunks of about block_rows, and each pair
-    of chunks is a task: none holds more, however many rows are alike. Null vectors have no partners;
-    vectors of another dimension than most aren't compared.
-    """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("id"), "embedding").filter(F.col("embedding").isNotNull())
-    dims = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not dims:
-        return spark.createDataFrame([], "a long, b long, distance double")
-    size, n = dims[0]["d"], dims[0]["n"]
-    rows = rows.filter(F.size("embedding") == size)
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, 1 + n // block_rows)).select("embedding").collect()  # at most PIVOTS
-    pivots = spark.sparkContext.broadcast(np.unique(np.array([r["embedding"] for r in chosen], np.float64), axis=0))
+def _in_chunks(rows: DataFrame, chosen: np.ndarray, within: float, size: int, block_rows: int) -> tuple[DataFrame, int]:
+    """id, embedding, cell, chunk, i, j of finite rows: what chunks i and j of a cell hold is to be compared; and how many such pairs there are."""
+    pivots = rows.sparkSession.sparkContext.broadcast(chosen)
+    kind = dict(rows.dtypes)["embedding"]
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pivots.value
         for batch in batches:
-            x = _rows_of(batch.column(1), size)[1]
+            x = matrix(batch.column(1), size)
             for at in range(0, len(x), 512):
-                some = x[at : at + 512]
-                far = np.sqrt(np.maximum((some**2).sum(axis=1)[:, None] - 2 * some @ p.T + (p**2).sum(axis=1)[None, :], 0))
+                far = distances(x[at : at + 512], p)
                 own = far.argmin(axis=1)
                 slack = 2 * within + 1e-6 * (1 + far.max(axis=1))
                 who, cell = np.nonzero((far <= (far[np.arange(len(own)), own] + slack)[:, None]) & (np.arange(len(p))[None, :] <= own[:, None]))
                 place = pa.array(at + who)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), pa.array(cell.astype(np.int32)), pa.array(cell == own[who])], ["id", "embedding", "cell", "home"])
 
-    met = rows.mapInArrow(visit, f"id long, embedding {dict(rows.dtypes)['embedding']}, cell int, home boolean")
-    cells = met.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("k"))  # at most PIVOTS rows
-    own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(F.col("chunk"), j) * F.col("k") + F.greatest(F.col("chunk"), j))
-    dealt = met.join(F.broadcast(cells), "cell").withColumn("chunk", own).withColumn("pair", F.explode(pairs))
+    met = rows.mapInArrow(visit, f"id long, embedding {kind}, cell int, home boolean")
+    # chunks of a cell's own rows and of its visitors, at most PIVOTS rows
+    counts = met.groupBy("cell").agg(F.ceil(F.count_if("home") / block_rows).cast("int").alias("h"), F.ceil(F.count_if(~F.col("home")) / block_rows).cast("int").alias("v"))
+    cells = stored(counts.filter("h > 0"), "cells")
+    total = cells.agg(F.sum((F.col("h") * (F.col("h") + 1) / 2).cast("long") + F.col("h") * F.col("v"))).first()[0] or 0
+    # own chunks meet those from their own on, then all of visitors; a visitors' chunk meets every own one
+    ranged = lambda lo, hi: F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))
+    h, v, zero = F.col("h"), F.col("v"), F.lit(0)
+    own = F.pmod(F.xxhash64("id"), h).cast("int")
+    guest = h + F.pmod(F.xxhash64("id"), F.greatest(v, F.lit(1))).cast("int")
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    inside = F.transform(ranged(zero, h + v), lambda j: pair(F.least(F.col("chunk"), j), F.greatest(F.col("chunk"), j)))
+    outside = F.transform(ranged(zero, h), lambda j: pair(j, F.col("chunk")))
+    dealt = met.join(F.broadcast(cells), "cell").withColumn("chunk", F.when(F.col("home"), own).otherwise(guest))
+    dealt = dealt.withColumn("pair", F.explode(F.when(F.col("home"), inside).otherwise(outside))).select("id", "embedding", "cell", "chunk", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
+    return dealt, total
+
+
+def similar_pairs(vectors: DataFrame, within: float, key: str = "vec_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """a < b and distance of all pairs at most within apart.
+
+    Rows belong to the nearest of a bounded number of pivots. By the triangle inequality
+    a row with a partner at another pivot is at most 2 * within farther from that pivot
+    than from its own; so it visits, of the pivots before its own, only those, and every
+    pair meets once. A pivot's own rows are dealt to chunks of about block_rows, its visitors to others; each pair
+    of chunks is a task, but for two of visitors: none holds more, however many rows are alike, and what meets nobody new isn't compared.
+    Where distances say little, as in many dimensions, all pairs are compared once, in as many tasks. Null vectors have no partners;
+    vectors of another dimension than most aren't compared, one with a component that isn't finite has no partners.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(key).cast("long").alias("id"), "embedding").filter(F.col("embedding").isNotNull())
+    size, n = most_common_size(rows)
+    if not size:
+        return spark.createDataFrame([], "a long, b long, distance double")
+    rows = finite(rows, size)
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, 1 + n // block_rows)).select("embedding").collect()  # at most PIVOTS
+    if not chosen:
+        return spark.createDataFrame([], "a long, b long, distance double")
+    dealt, total = _in_chunks(rows, np.unique(np.array([r["embedding"] for r in chosen], np.float64), axis=0), within, size, block_rows)
 
     def run(table: pa.Table) -> pa.Table:
-        ids, home = np.array(table.column("id")), np.array(table.column("home"))
-        x = np.array(table.column("embedding").to_pylist(), np.float64)
-        chunk, pair, k = np.array(table.column("chunk")), table.column("pair")[0].as_py(), table.column("k")[0].as_py()
-        lo, hi = np.flatnonzero(chunk == pair // k), np.flatnonzero(chunk == pair % k)
-        a, b, d = [], [], []
-        for at in range(0, len(lo), 512):
-            some = lo[at : at + 512]
-            rough = (x[some] ** 2).sum(axis=1)[:, None] - 2 * x[some] @ x[hi].T + (x[hi] ** 2).sum(axis=1)[None, :]
-            i, j = np.nonzero(rough <= within * within + 1e-6)
-            left, right = some[i], hi[j]
+        ids, x, chunk = np.array(table.column("id")), matrix(table.column("embedding"), size), np.array(table.column("chunk"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        lo, hi = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        y, a, b, d = x[hi], [], [], []
+        length = (y**2).sum(axis=1)
+        for at in range(0, len(lo), 256):
+            some = lo[at : at + 256]
+            rough = x[some] @ y.T
+            rough *= -2
+            rough += length
+            bound = within * within + 1e-6 - (x[some] ** 2).sum(axis=1)
+            r, c = np.nonzero(rough <= bound[:, None])
+            left, right = some[r], hi[c]
             exact = np.sqrt(((x[left] - x[right]) ** 2).sum(axis=1))
-            keep = (exact <= within) & (home[left] | home[right]) & ((ids[left] < ids[right]) if pair // k == pair % k else (ids[left] != ids[right]))
+            keep = (exact <= within) & ((ids[left] < ids[right]) if i == j else (ids[left] != ids[right]))
             a.append(np.minimum(ids[left], ids[right])[keep])
             b.append(np.maximum(ids[left], ids[right])[keep])
             d.append(exact[keep])
         join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
         return pa.table({"a": join(a, np.int64), "b": join(b, np.int64), "distance": join(d, np.float64)})
 
-    return dealt.groupBy("cell", "pair").applyInArrow(run, "a long, b long, distance double")
+    return dealt.repartition(tasks(spark, total, 4), "cell", "i", "j").groupBy("cell", "i", "j").applyInArrow(run, "a long, b long, distance double")
 
 
 def mean_vectors(vectors: DataFrame, group: str, weight: Column | None = None) -> DataFrame:

@@ -231,3 +231,16 @@ def test_clustering_goes_on_where_it_was():
     odd, _ = vectors.lead([(1, None, 0.9), (2, [1.0, 0.0], 0.9), (3, [1.0], 0.9)])
     assert odd == [(1, None, None), (2, 1, 0.0), (3, None, None)]
     assert vectors.absorb([(1, None, 3), (2, [1.0, 0.0], 2), (3, [1.0, 0.1], 1), (4, [1.0], 1)]) == [(3, 2)]
+
+
+def test_pairs_meet_once_where_pivots_do_not_prune(spark):
+    x = np.random.default_rng(9).normal(size=(600, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    dealt, total = vectors._in_chunks(table, x[:12], 1.1, 32, 50)
+    groups = {}
+    for r in dealt.select("cell", "i", "j", "chunk").collect():
+        groups.setdefault((r.cell, r.i, r.j), []).append(r.chunk)
+    assert len(groups) <= total
+    compared = sum(c.count(i) * c.count(j) for (_, i, j), c in groups.items())
+    assert compared <= 1.2 * 600 * 600 / 2 + 600 * 50  # visitors of a cell aren't compared with each other: not the cube of the cells
