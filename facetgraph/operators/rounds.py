@@ -25,6 +25,8 @@ from .pivots import SLACK, choose, distances, matrix
 MOST, ENTITIES = 4096, 4
 #: Times that a row may travel to meet others in a round, on average, and tasks' worth of rows in a round at most.
 TRAVEL, WIDTH = 64, 32
+#: Rows in a round at most where tasks are small; own rows of a cell in which rows meet.
+ROUND_ROWS, MEET = 1 << 16, 8192
 #: Links that one task joins to groups; more are joined by shuffles.
 LINKS = 1 << 20
 #: Parts into which a lookup of entities is salted, as one may have a third of all rows.
@@ -91,6 +93,20 @@ def ranked(rows: DataFrame, *order: str) -> DataFrame:
     return found
 
 
+def _least(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """The least of n nodes that each reaches over links between left and right."""
+    label = np.arange(n)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, left, label[right])
+        np.minimum.at(least, right, label[left])
+        np.minimum.at(least, label, least)
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
 def _links(table: pa.Table, size: int) -> pa.Table:
     """Links between the own nodes and the visitors of a part of a cell that may meet, each to one node of its group there."""
     node, face, home = (np.array(table.column(c)) for c in ("id", "face", "home"))
@@ -101,10 +117,13 @@ def _links(table: pa.Table, size: int) -> pa.Table:
         some = guests[at : at + 256]
         reach = np.maximum(r[some, None] + m[None, own], m[some, None] + r[None, own]) + SLACK
         near = (distances(x[some], x[own]) <= reach) & (face[some, None] | face[None, own])
-        for i, row in zip(place[some].tolist(), near, strict=True):
-            met = np.unique(np.append(label[place[own[row]]], label[i]))
-            if len(met) > 1:
-                label[np.isin(label, met)] = met[0]
+        guest, host = np.nonzero(near)
+        a, b = label[place[some[guest]]], label[place[own[host]]]
+        if (a != b).any():
+            met, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+            merged = np.arange(len(ids))
+            merged[met] = met[_least(ends[: len(a)], ends[len(a) :], len(met))]
+            label = merged[label]
     linked = np.flatnonzero(label != np.arange(len(ids)))
     return pa.table({"a": ids[linked], "b": ids[label[linked]]})
 
@@ -113,25 +132,16 @@ def _joined(table: pa.Table) -> pa.Table:
     """node, root of a bounded number of links, root being the least node."""
     a, b = np.array(table.column("a")), np.array(table.column("b"))
     nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left, right, label = place[: len(a)], place[len(a) :], np.arange(len(nodes))
-    while True:
-        least = label.copy()
-        np.minimum.at(least, left, label[right])
-        np.minimum.at(least, right, label[left])
-        np.minimum.at(least, label, least)
-        least = least[least]
-        if (least == label).all():
-            return pa.table({"node": nodes, "root": nodes[label]})
-        label = least
+    return pa.table({"node": nodes, "root": nodes[_least(place[: len(a)], place[len(a) :], len(nodes))]})
 
 
 def _met(nodes: DataFrame, size: int, n: int, most: int) -> DataFrame | None:
     """nodes with cell, part, share and home: all that may meet do so in one (cell, part, share); None where they would have to travel too often.
 
-    A cell's own nodes are dealt to parts, its visitors, own rows among them, to shares. Rows visit all cells in which the triangle inequality
+    What meets is compared, not gone through, so cells and parts have MEET rows even where a task goes through fewer. A cell's own nodes are dealt to parts, its visitors, own rows among them, to shares. Rows visit all cells in which the triangle inequality
     allows a partner, entities stay at home, as they don't meet each other.
     """
-    spark = nodes.sparkSession
+    spark, most = nodes.sparkSession, max(most, MEET)
     far = nodes.agg(F.max(F.when(F.col("face"), F.col("reach"))).alias("r"), F.max("margin").alias("m")).first()
     within, shared = float(far["r"] + far["m"]), spark.sparkContext.broadcast(choose(nodes, "id", 1 + n // most))
 
@@ -236,9 +246,10 @@ def in_rounds(rows: DataFrame, entities: DataFrame | None, size: int, rule: Rule
     rows: id (numbers without gaps, as ranked gives them, from any number on), key, embedding (size finite doubles), reach,
     opens (whether it may open an entity), w. entities: id (all below those of rows), embedding, w. A row that opens an entity gives it its id.
 
-    Up to WIDTH * most rows go into a round, as many as leave no linked group above most rows; a mass of rows in one place,
+    Up to WIDTH * most rows, or ROUND_ROWS, go into a round, as many as leave no linked group above most rows; a mass of rows in one place,
     whose order is all there is, takes several rounds. A task goes through about most rows, at most twice as many for
-    parts that hash alike. Entities are written again by each round.
+    parts that hash alike. Entities are written again by each round. Where entities left their margin, the next rounds
+    begin with the one that most would have kept, unless that links too many rows.
     """
     spark = rows.sparkSession
     ends = rows.agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("reach").alias("r")).first()
@@ -248,7 +259,7 @@ def in_rounds(rows: DataFrame, entities: DataFrame | None, size: int, rule: Rule
     if ends["a"] is None:
         return spark.createDataFrame([], "id long, key long, entity long, distance double"), entities
     at, end, known, first = ends["a"], ends["b"] + 1, entities.count(), ends["r"] / 8
-    width, calm, largest = 2 * most, 8, most
+    width, calm, largest, least, learns = 2 * most, 8, most, first, True
     while at < end:
         to, margins = min(end, at + width), None
         while True:
@@ -258,7 +269,7 @@ def in_rounds(rows: DataFrame, entities: DataFrame | None, size: int, rule: Rule
             nodes = faces.unionByName(before).withColumn("margin", F.when(F.col("face") & ~F.col("opens"), F.lit(float("-inf"))).otherwise(F.lit(float(first))))
             if margins is not None:
                 grown = margins.withColumnRenamed("margin", "_grown")
-                nodes = nodes.join(grown, "id", "left").withColumn("margin", F.coalesce("_grown", "margin")).drop("_grown")
+                nodes = nodes.join(grown, "id", "left").withColumn("margin", F.greatest("_grown", "margin")).drop("_grown")
             if to - at <= most and known <= ENTITIES * most:
                 grouped, largest = nodes.withColumn("margin", F.lit(float("inf"))).withColumn("root", F.lit(0).cast("long")), 0
             else:
@@ -273,7 +284,13 @@ def in_rounds(rows: DataFrame, entities: DataFrame | None, size: int, rule: Rule
                 break
             kept = astray if margins is None else margins.join(astray, "id", "left_anti").unionByName(astray)
             margins = stored(kept, "margins")
+            if learns:
+                usual = out.filter("id IS NULL").agg(F.percentile_approx("drift", 0.99)).first()[0]
+                first = max(first, min(1.25 * usual, 4 * least))
             discard(out)
+        if grouped is None and first > least:
+            first, learns = least, False
+            continue
         if grouped is None:
             width, calm = max(most if to - at > most else 1, (to - at) // 8), 0
             continue
@@ -284,7 +301,7 @@ def in_rounds(rows: DataFrame, entities: DataFrame | None, size: int, rule: Rule
             discard(old)
         at, known, calm = to, entities.count(), calm + 1
         if calm > 8 and largest <= most // 4:  # room for more; where more was too crowded, 8 rounds go by before
-            width = min(4 * width, WIDTH * most)
+            width = min(4 * width, max(WIDTH * most, ROUND_ROWS))
     whole = found[0]
     for more in found[1:]:
         whole = whole.unionAll(more)

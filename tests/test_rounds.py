@@ -84,3 +84,15 @@ def test_links_beyond_one_task(spark, monkeypatch):
     monkeypatch.setattr(rounds, "LINKS", 5)
     found = vectors.cluster_online(table, most=60).collect()
     same([(r.vec_id, r.entity_id, r.distance) for r in found], vectors.lead(rows)[0])
+
+
+def test_cells_hold_more_than_a_task_goes_through(spark, monkeypatch):
+    rows = people(7, 200, size=32, persons=60)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score double")
+    widths, plain = [], rounds._groups
+    monkeypatch.setattr(rounds, "_groups", lambda nodes, size, n, most: (widths.append(nodes.filter("face").count()), plain(nodes, size, n, most))[1])
+    monkeypatch.setattr(rounds, "WIDTH", 2)
+    monkeypatch.setattr(rounds, "MEET", 50)  # several cells, parts and shares
+    found = vectors.cluster_online(table.filter("vec_id < 66 OR vec_id >= 100"), most=40).collect()
+    same([(r.vec_id, r.entity_id, r.distance) for r in found], vectors.lead([r for r in rows if r[0] < 66 or r[0] >= 100])[0])
+    assert max(widths) > 80  # rounds grow beyond WIDTH tasks' worth of rows
