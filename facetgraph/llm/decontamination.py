@@ -151,7 +151,11 @@ def named_items(benchmark: DataFrame) -> DataFrame:
 
 
 def probe(docs: DataFrame, block: list[tuple[str, str]]) -> DataFrame:
-    """doc_id and the hash of the text with n_words, spans (start, end pairs in words) and items, for one block."""
+    """doc_id and the hash of the text with n_words, n_hit and items, for one block.
+
+    Hits are counted here and not in a step of its own: Spark keeps a Python worker for each such step of
+    a task, and every worker comes to hold what any later step loads.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Block(block))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -170,11 +174,11 @@ def probe(docs: DataFrame, block: list[tuple[str, str]]) -> DataFrame:
                 spans[d] += [int(start - first), int(end - first)]
                 items[d].add(block.items[i])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(counts), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                ["doc_id", "text_hash", "n_words", "spans", "items"],
+                [batch.column(0), batch.column(2), pa.array(counts), pa.array([covered(s) for s in spans], pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                ["doc_id", "text_hash", "n_words", "n_hit", "items"],
             )
 
-    return docs.select("doc_id", whole_text().alias("text"), F.xxhash64(whole_text()).alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, n_words long, spans array<bigint>, items array<string>")
+    return docs.select("doc_id", whole_text().alias("text"), F.xxhash64(whole_text()).alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, n_words long, n_hit long, items array<string>")
 
 
 def covered(spans: list[int]) -> int:
@@ -214,7 +218,7 @@ def fingerprints(rows: DataFrame, lengths: list[int], short: bool) -> DataFrame:
 
 
 def joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_words, spans and items for each row of docs, by a join of fingerprints; no side is broadcast."""
+    """doc_id, text_hash, n_words, n_hit and items for each row of docs, by a join of fingerprints; no side is broadcast."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     items = items.withColumn("item_hash", F.xxhash64("text"))
     texts = docs.select("doc_id", whole_text().alias("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -242,10 +246,16 @@ def joined(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     spans = met.mapInArrow(run, f"doc_id {kind}, text_hash long, spans array<bigint>, item string")
     each = spans.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
-    each = each.withColumnsRenamed({"doc_id": "of", "text_hash": "of_hash"})
-    rows = probe(docs, []).drop("spans", "items")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = [covered(s) for s in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), batch.column(3)], ["of", "of_hash", "n_hit", "items"])
+
+    each = each.mapInArrow(digest, f"of {kind}, of_hash long, n_hit long, items array<string>")
+    rows = probe(docs, []).drop("n_hit", "items")
     known = rows.join(each.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")), "left")
-    return known.select("doc_id", "text_hash", "n_words", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return known.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def fits(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> bool:
@@ -264,19 +274,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     repeated results. Other columns are ignored. doc_id may be of any type that can be compared.
     """
     small_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
     items = named_items(benchmark)
     if fits(items, block_bytes):
         found = probe(docs, [(r["item"], r["text"]) for r in items.collect()])  # at most block_bytes
     else:
         found = joined(docs, items)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = [covered(s) for s in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), batch.column(3)], ["doc_id", "n_words", "n_hit", "items"])
-
-    return found.select("doc_id", "n_words", "spans", "items").mapInArrow(digest, f"doc_id {kind}, n_words long, n_hit long, items array<string>")
+    return found.select("doc_id", "n_words", "n_hit", "items")
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:

@@ -84,3 +84,11 @@ def test_repeated_rows_are_one_blob(spark, tmp_path):
     assert len(found) == 7 and [len(r.findings) for r in sorted(found, key=str)].count(1) == 5
     ledger = spark.read.parquet(f"file://{tmp_path}/ledger")
     assert ledger.count() == ledger.select("blob").distinct().count() == 3
+
+
+def test_a_task_of_decontamination_keeps_one_python_worker(spark, texts, tmp_path):
+    spark.createDataFrame([(1, texts[0]), (2, "a few words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, texts[0]), (2, texts[1]), (None, texts[2])]
+    found = corpus_pipeline.drop_contaminated(spark, table(spark, rows), str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert by_row(found) == expected(rows[1:])
