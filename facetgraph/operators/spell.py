@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..storage import tasks
 from . import intent
 
 # Words that queries are about: those that intents know, in their order.
@@ -33,11 +34,12 @@ def corrections(words: DataFrame, terms: DataFrame, distance: int = DISTANCE, ac
 
     Words with a digit, of up to two letters, or in the dictionary stay. The order
     among candidates: distance, whether one delete of the word is enough to meet the
-    term, place in the dictionary, term.
+    term, place in the dictionary, term. Terms are dealt out before they are shortened.
     """
     asked = words.select("word").distinct().filter((F.length("word") > 2) & ~F.col("word").rlike("[0-9]"))
     asked = asked.join(terms.select(F.col("term").alias("word")), "word", "left_anti")
-    keys = terms.select("term", "place", "frequency", F.explode(text.deletes(F.col("term"), distance)).alias("key"))
+    dealt = terms.repartition(tasks(words.sparkSession, 0), "term")
+    keys = dealt.select("term", "place", "frequency", F.explode(text.deletes(F.col("term"), distance)).alias("key"))
     found = asked.select("word", F.explode(text.deletes(F.col("word"), distance)).alias("key")).join(keys, "key")
     tier = F.when(F.array_contains(text.deletes(F.col("word"), 1), F.col("key")), 1).otherwise(2)
     found = found.groupBy("word", "term", "place", "frequency").agg(F.min(tier).alias("tier"))

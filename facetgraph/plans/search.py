@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text, vector
 from ..models import apply_model
-from ..operators import burst, intent, resolve, spans, spell, vectors
+from ..operators import burst, graph, intent, resolve, spans, spell, vectors
 from ..storage import stored
 
 Loader = Callable[[], Callable[[list], list]]
@@ -45,7 +45,8 @@ class Tables:
     entities: DataFrame
     members: DataFrame
     detections: DataFrame
-    pair_files: DataFrame
+    #: None: pairs are made from detections, of the entities asked for alone.
+    pair_files: DataFrame | None
     vectors: DataFrame
 
 
@@ -80,15 +81,25 @@ def understand(queries: DataFrame, entities: DataFrame, tagger: Loader | None, o
     return cleaned.select("query_id", "corrected", "ids", meant.alias("caption"))
 
 
+#: Rows of what was asked or found that are broadcast at most; more are joined as Spark sees fit.
+FEW = 100_000
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if they are few: the large side is then filtered where it lies, also below a grouping."""
+    return rows.hint("broadcast") if rows.limit(FEW + 1).count() <= FEW else rows
+
+
 def common_files(understood: DataFrame, members: DataFrame, pair_files: DataFrame) -> DataFrame:
     """query_id, file_id, score (the least of its members): the files that hold all entities of each query.
 
     Two entities are looked up in the pair table first; queries it has nothing for, and
-    all others, are answered by division of the memberships.
+    all others, are answered by division of the memberships. Those of other entities go before they are
+    grouped or dealt out.
     """
     wanted = understood.filter(F.size("ids") > 0).select("query_id", "ids", F.size("ids").alias("n"))
     one = wanted.select("query_id", "n", F.explode("ids").alias("entity_id"))
-    held = one.join(members, "entity_id").groupBy("query_id", "n", "file_id").agg(F.count_distinct("entity_id").alias("hit"), F.min("score").alias("score"))
+    held = one.join(members.join(_few(one.select("entity_id").distinct()), "entity_id", "left_semi"), "entity_id").groupBy("query_id", "n", "file_id").agg(F.count_distinct("entity_id").alias("hit"), F.min("score").alias("score"))
     divided = held.filter(F.col("hit") == F.col("n")).select("query_id", "file_id", "score")
     two = wanted.filter("n = 2").select("query_id", F.get("ids", F.lit(0)).alias("entity_a"), F.get("ids", F.lit(1)).alias("entity_b"))
     indexed = two.join(pair_files, ["entity_a", "entity_b"]).select("query_id", "file_id").distinct()
@@ -97,13 +108,27 @@ def common_files(understood: DataFrame, members: DataFrame, pair_files: DataFram
     return rest.unionByName(scored)
 
 
+def _pairs(understood: DataFrame, tables: Tables) -> DataFrame:
+    """The pair table, or those of its rows that queries for two entities can ask for."""
+    if tables.pair_files is not None:
+        return tables.pair_files
+    asked = understood.filter(F.size("ids") == 2).select(F.explode("ids").alias("entity_id")).distinct()
+    return graph.edge_files(tables.detections.join(_few(asked), "entity_id", "left_semi"))
+
+
 def _finish(hits: DataFrame, understood: DataFrame, tables: Tables, options: Options) -> DataFrame:
-    """Ranked hits (query_id, file_id, distance, metric): the best top_k, with their files, verified and spread in time."""
+    """Ranked hits (query_id, file_id, distance, metric): the best top_k, with their files, verified and spread in time.
+
+    The best are written, as they are few whatever the tables hold: files and detections are then filtered where they lie.
+    """
     order = Window.partitionBy("query_id").orderBy("distance", "file_id")
-    best = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= options.top_k)
-    known = best.join(tables.files.select(F.col("id").alias("file_id"), "abs_path", "display_name", "size_bytes", "mtime_unix"), "file_id")
+    best = stored(hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= options.top_k), "best")
+    known = _few(best).join(tables.files.select(F.col("id").alias("file_id"), "abs_path", "display_name", "size_bytes", "mtime_unix"), "file_id")
+    known = stored(known, "known")
     wanted = understood.select("query_id", F.explode("ids").alias("entity_id"), F.size("ids").alias("n"))
-    seen = known.select("query_id", "file_id").join(wanted, "query_id").join(tables.detections.select("file_id", "entity_id").distinct(), ["file_id", "entity_id"])
+    seen = known.select("query_id", "file_id").join(wanted, "query_id")
+    held = tables.detections.select("file_id", "entity_id").join(_few(seen.select("file_id", "entity_id").distinct()), ["file_id", "entity_id"], "left_semi").distinct()
+    seen = seen.join(held, ["file_id", "entity_id"])
     whole = seen.groupBy("query_id", "file_id", "n").count().filter(F.col("count") == F.col("n")).select("query_id", "file_id")
     return burst.deburst(known.join(whole, ["query_id", "file_id"], "left_semi").select(*known.columns), seconds=options.burst_seconds)
 
@@ -122,13 +147,14 @@ def search(queries: DataFrame, tables: Tables, embedder: Loader, tagger: Loader
     said = understood.filter(F.col("caption") != "")
     embedded = apply_model(said.select("query_id", "caption", named.alias("named")), embedder, "caption", "embedding", "array<float>").filter(F.col("embedding").isNotNull())
     embedded = stored(embedded, "captions")
-    found = common_files(understood, tables.members, tables.pair_files)
+    found = common_files(understood, tables.members, _pairs(understood, tables))
     near = found.join(embedded.filter("named").select("query_id", F.col("embedding").alias("q")), "query_id").join(tables.vectors, "file_id").filter(F.size("q") == F.size("embedding"))
     by_vector = near.select("query_id", "file_id", (1 - vector.dot(F.col("q"), F.col("embedding"))).alias("distance"), F.lit("cosine").alias("metric"))
     by_member = found.join(understood.filter(F.col("caption") == "").select("query_id"), "query_id", "left_semi").select("query_id", "file_id", (1 - F.col("score")).alias("distance"), F.lit("membership").alias("metric"))
     ranked = _finish(by_vector.unionByName(by_member), understood, tables, options).select(*RESULT)
     overall = vectors.knn_join(tables.vectors, embedded.filter("NOT named").select("query_id", "embedding"), options.top_k, key="file_id")
+    overall = stored(overall, "overall")
     order = Window.partitionBy("query_id").orderBy("distance", "file_id")
     files = tables.files.select(F.col("id").alias("file_id"), "abs_path", "display_name", "size_bytes", "mtime_unix")
-    overall = overall.withColumn("rank", F.row_number().over(order)).join(files, "file_id").withColumn("metric", F.lit("l2")).select(*RESULT)
+    overall = _few(overall.withColumn("rank", F.row_number().over(order))).join(files, "file_id").withColumn("metric", F.lit("l2")).select(*RESULT)
     return ranked.unionByName(overall)

@@ -297,7 +297,7 @@ def search_pipeline(spark, d):
     asked = read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("photos of "), F.lower("n_name")).alias("text"), F.lit(-1).cast("long").alias("owner_entity_id"))
     found = proxies.detections(spark, d)
     pictures = read(spark, d, "embeddings").select(F.col("vec_id").alias("file_id"), "embedding")
-    tables = search.Tables(proxies.files(spark, d), proxies.entities(spark, d), proxies.members(spark, d), found, stored(graph.edge_files(found), "pairs"), pictures)
+    tables = search.Tables(proxies.files(spark, d), stored(proxies.entities(spark, d), "entities"), proxies.members(spark, d), found, None, pictures)
     return search.search(asked, tables, partial(models.hash_embedder, 64), partial(models.gazetteer, {"france": "PERSON", "germany": "PERSON", "china": "PERSON"}))
 
 
